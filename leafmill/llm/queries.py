@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, quality, sharding, simhash, urls
+try:  # the folder of public vocabularies is not part of the repository
+    import public_tokenizers
+except ModuleNotFoundError:
+    public_tokenizers = None
+
+from . import bpe, chat, media, packing, quality, sharding, simhash, urls
 from .common import scratch, table
 
 
@@ -23,6 +28,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return made.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in packed sequences."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -53,6 +70,8 @@ def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
+    "op4_bpe": op4_bpe,
+    "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_media": op8_media,
     "op9_sharding": op9_sharding,
