@@ -12,7 +12,7 @@ try:  # the folder of public vocabularies is not part of the repository
 except ModuleNotFoundError:
     public_tokenizers = None
 
-from . import bpe, chat, media, packing, quality, sharding, simhash, urls
+from . import bpe, chat, langid, media, packing, quality, sharding, simhash, urls
 from .common import scratch, table
 
 
@@ -35,6 +35,15 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those whose crc32(doc_id) % 5 is not 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.filter(~held_out), "doc_id")
+    made = langid.with_language(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return made.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in packed sequences."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -44,7 +53,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     counted = quality.with_base(scratch(quality.with_counts(docs, keep_text=False), "counts"))
-    judged = quality.judge(counted, quality.limits(counted))
+    judged = quality.judge(counted, scratch(quality.limits(counted), "limits"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -71,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
+    "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_media": op8_media,
