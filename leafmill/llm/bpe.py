@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import Numbers, release, slices
 
 #: White_Space, which \s means in the tokenizer's own engine; Python's \s also has U+001C to U+001F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -36,7 +36,7 @@ STEPS = 24
 LONG_PIECE = 400
 POSITION_BITS = 28
 #: Distinct pieces that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 
 _PAIRS = """
 WITH RECURSIVE step AS (
@@ -81,14 +81,6 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({"pair": pa.array([a << 20 | b for a, b, _ in rows], pa.int64()), "out": pa.array([r for *_, r in rows], pa.int64()), "calm": pa.array([r not in early for *_, r in rows])})
 
 
-class Numbers(dict):
-    """Numbers its keys in the order in which they are first asked for."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 class Coder:
     """Encodes and decodes in one DuckDB database, on one thread and in bounded memory."""
 
@@ -103,6 +95,9 @@ class Coder:
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_")
         self.forget()
 
+    def close(self) -> None:
+        self.db.close()
+
     def forget(self) -> None:
         self.pieces = Numbers()
         self.known: list[str] = []
@@ -192,6 +187,9 @@ def _round_trips(df: DataFrame, text: str, path: str, pattern: str, fields: list
                 rows = [finish(ids, body) for ids, body in coder.round_trip(part.column(text).to_pylist())]
                 made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + made, names=names + names_made)
+        coder.close()
+        del coder
+        release()
 
     return df.mapInArrow(run, T.StructType(kept + fields))
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import Numbers, release, slices
 
 FOLDS = 5
 PER_LANG = 400
@@ -47,7 +47,7 @@ BATCH = 100
 RATE = 0.15
 #: Words of a block; blocks are scanned together, then chained.
 STEP = 64
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 UNDETERMINED = "und"
 
 
@@ -56,12 +56,6 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % FOLDS == 0
 
 
-class Numbers(dict):
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 def core(word: bytes) -> bytes:
     """The word in lower case, without what isn't a letter at its ends; empty if it has no letter."""
     text = word.decode("utf-8", "replace").lower()
@@ -380,6 +374,8 @@ def with_language(docs: DataFrame, field: Field | None, text: str = "text", keep
                     own = runs(likely, lens, labeller.field.langs) if labeller else [[] for _ in pred]
                     made.append(pa.array(own, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + made, names=names + added)
+        del labeller
+        release()
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + [T.StructField("lang_runs", RUNS)] * with_runs
     return docs.mapInArrow(run, T.StructType(kept + fields))

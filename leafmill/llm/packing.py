@@ -21,6 +21,7 @@ columns are not carried.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 
@@ -32,21 +33,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from .common import scratch, slices
+from .common import Numbers, release, scratch, slices
 
 CAPACITY = 2048
 END = 0
 #: Distinct words that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 1_500_000
-#: A word that stands between others when they are encoded together, and its ids (found by the tokenizer).
-MARK = "§"
-TOGETHER = 400
+REMEMBERED = 600_000
+#: Words encoded in one call of the tokenizer, and texts of a call.
+TOGETHER = 500
+CALL = 40
+#: What the vocabulary adds to the last token of a word.
+WORD_END = "</w>"
 
 
-class Numbers(dict):
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
+def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Words:
@@ -57,9 +60,10 @@ class Words:
     """
 
     def __init__(self, tokenizer: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.tokenizer.encode_special_tokens = True
-        self.mark = np.array(self.tokenizer.encode(MARK, add_special_tokens=False).ids)
+        self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith(WORD_END) for k in range(self.tokenizer.get_vocab_size())])
         self.forget()
 
     def forget(self) -> None:
@@ -68,39 +72,49 @@ class Words:
         self.starts, self.counts = np.array([0]), np.array([1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word; words without MARK go together, parted by it."""
-        out: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
-        plain = [k for k, w in enumerate(words) if MARK not in w]
-        odd = [k for k, w in enumerate(words) if MARK in w]
-        for k, ids in zip(odd, self.encode([words[k] for k in odd]), strict=True):
-            out[k] = ids
+        return [np.array(e.ids, np.uint32) for at in range(0, len(texts), CALL) for e in self.tokenizer.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of each word's).
+
+        A word of letters is one word to the tokenizer too, so that such words go together
+        and the tokens that end a word part them; a group whose number of ends differs
+        from its words, and every other word, is encoded word by word.
+        """
+        plain = [k for k, w in enumerate(words) if w.isalpha()]
+        odd = [k for k, w in enumerate(words) if not w.isalpha()]
+        counts, parts = np.zeros(len(words), np.int64), []
+        order = []
         groups = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
-        n = len(self.mark)
-        for group, ids in zip(groups, self.encode([f" {MARK} ".join(words[k] for k in g) for g in groups]), strict=True):
-            at = np.flatnonzero(np.all(np.lib.stride_tricks.sliding_window_view(ids, n) == self.mark, axis=1)) if len(ids) >= n else np.zeros(0, int)
-            if len(at) != len(group) - 1:  # a word made the mark's ids itself
-                for k, own in zip(group, self.encode([words[k] for k in group]), strict=True):
-                    out[k] = own
-                continue
-            edges = [-n, *at.tolist(), len(ids)]
-            for k, a, b in zip(group, edges, edges[1:], strict=False):
-                out[k] = ids[a + n : b]
-        return out
+        for group, ids in zip(groups, self.encode([" ".join([words[k] for k in g]) for g in groups]), strict=True):
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(group):
+                counts[group] = np.diff(last, prepend=-1)
+                parts.append(ids)
+                order.append(group)
+            else:
+                odd += group
+        for k, ids in zip(odd, self.encode([words[k] for k in odd]), strict=True):
+            counts[k] = len(ids)
+            parts.append(ids)
+            order.append([k])
+        flat, place = np.concatenate([*parts, np.zeros(0, np.uint32)]), np.fromiter((k for g in order for k in g), np.int64, len(words))
+        starts = np.zeros(len(words), np.int64)
+        starts[place] = np.cumsum(counts[place]) - counts[place]
+        return flat[_runs(starts, counts)], counts
 
     def learn(self) -> None:
         fresh = [w.decode() for w in list(self.words)[len(self.counts) :]]
-        # A full stop or comma after ASCII letters is a token of its own: the letters are encoded without it.
-        stems = Numbers()
-        parts = [(stems[w[:-1]], stems[w[-1]]) if len(w) > 1 and w[-1] in ".," and w[:-1].isascii() and w[:-1].isalpha() else (stems[w],) for w in fresh]
-        made = self.encode_words(list(stems))
-        rows = [made[p[0]] if len(p) == 1 else np.concatenate([made[p[0]], made[p[1]]]) for p in parts]
-        counts = np.array([len(x) for x in rows], np.int64)
+        # A full stop or comma after letters is a word of its own to the tokenizer: the letters are encoded without it.
+        stems = Numbers({"": 0})
+        pairs = np.array([(stems[w[:-1]], stems[w[-1]]) if w[-1] in ".," and w[:-1].isalpha() else (stems[w], 0) for w in fresh], np.int64).reshape(-1)
+        flat, many = self.encode_words(list(stems)[1:])
+        many = np.concatenate([[0], many])
+        taken = _runs((np.cumsum(many) - many)[pairs], many[pairs])
+        counts = many[pairs].reshape(-1, 2).sum(1)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
-        self.ids = np.concatenate([self.ids, *rows]) if rows else self.ids
+        self.ids = np.concatenate([self.ids, flat[taken]])
 
     def documents(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with END after it, and their numbers."""
@@ -117,7 +131,7 @@ class Words:
         own = np.concatenate(codes) if codes else np.zeros(0, np.int64)
         counts = self.counts[own]
         ends = np.cumsum(counts)
-        at = np.repeat(self.starts[own] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+        at = _runs(self.starts[own], counts)
         last = np.cumsum(np.array(sizes, np.int64)) - 1
         return self.ids[at], np.diff(np.concatenate([[0], ends[last]])) if len(ends) else np.zeros(0, np.int64)
 
@@ -152,6 +166,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
                     [rows.column(key).take(pa.array(owner)), *map(pa.array, (piece.astype(np.int32), start, length, np.array(crc, np.int64), np.full(len(owner), part, np.int32), place))],
                     names=[key, "piece", "start", "length", "ids_crc32", "part", "place"],
                 )
+        del words
+        release()
 
     return docs.mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, part int, place long")
 
