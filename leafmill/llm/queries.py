@@ -12,7 +12,7 @@ try:  # the folder of public vocabularies is not part of the repository
 except ModuleNotFoundError:
     public_tokenizers = None
 
-from . import bpe, chat, langid, media, packing, quality, sharding, simhash, urls
+from . import bpe, chat, langid, media, packing, quality, sharding, simhash, substrings, urls
 from .common import scratch, table
 
 
@@ -28,6 +28,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of repeated 400-byte strings."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.dedup(docs, fields=("n_removed", "n_spans", "kept_sha256"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -79,6 +85,7 @@ def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
+    "op3_suffix_array": op3_suffix_array,
     "op4_bpe": op4_bpe,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
