@@ -402,8 +402,8 @@ def removed_spans(docs: DataFrame, text: str, kernel_fields: list[T.StructField]
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-_ARROW = {"n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
-_FIELDS = {"n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType(), "kept": T.BinaryType(), "spans": SPANS}
+_ARROW = {"n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "kept_text": pa.string(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
+_FIELDS = {"n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType(), "kept": T.BinaryType(), "kept_text": T.StringType(), "spans": SPANS}
 
 
 def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -412,12 +412,13 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def dedup(docs: DataFrame, text: str = "text", fields: tuple[str, ...] = ("n_removed", "spans", "kept")) -> DataFrame:
-    """docs without the text column, with n_bytes and the fields: n_removed, n_spans, kept_sha256, spans, kept (bytes)."""
+    """docs without the text column, with n_bytes and the fields: n_removed, n_spans,
+    kept_sha256, spans, kept (bytes) and kept_text (without characters of which a cut left a part)."""
     made = {
         "n_removed": lambda t, s: sum(b - a for a, b in s), "n_spans": lambda t, s: len(s), "kept_sha256": lambda t, s: hashlib.sha256(kept_bytes(t, s)).hexdigest(),
-        "kept": kept_bytes, "spans": lambda t, s: [{"start": a, "end": b} for a, b in s],
+        "kept": kept_bytes, "kept_text": lambda t, s: kept_bytes(t, s).decode("utf-8", "ignore"), "spans": lambda t, s: [{"start": a, "end": b} for a, b in s],
     }
-    whole = {"n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.sha2(F.col("body_"), 256), "kept": F.col("body_"), "spans": F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")}
+    whole = {"n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.sha2(F.col("body_"), 256), "kept": F.col("body_"), "kept_text": F.col("body_").cast("string"), "spans": F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")}
     found = removed_spans(docs, text, [T.StructField(f, _FIELDS[f]) for f in fields], lambda t, s: [made[f](t, s) for f in fields])
     carried = [c for c in docs.columns if c not in (text, "n_bytes", *fields)]
     body = text_as_bytes(F.col(text))
