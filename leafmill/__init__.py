@@ -1 +1,10 @@
-"""leafmill: a PySpark-native engine for packaged reference works and text corpora."""
+"""leafmill: a PySpark-native engine for packaged reference works and text corpora.
+
+Functions that run in Python workers are pickled by value, so executors need no copy
+of the package.
+"""
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
