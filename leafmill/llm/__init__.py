@@ -1,10 +1,4 @@
 """Training-data operators: filters, deduplication, tokenising, packing, media, sharding, chat.
 
-Nothing else in leafmill imports this subpackage.  Functions that run in Python
-workers are pickled by value, so executors need no copy of the package.
+Nothing else in leafmill imports this subpackage.
 """
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: White space that separates words in every contract: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a kernel works on at once; bounds the temporaries of a task.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import release, slices
 
 FRAME = 64
 SIDE = 8
@@ -199,6 +199,7 @@ def _appended(df: DataFrame, sized: str, fields: list[T.StructField], kinds: lis
                 rows = [one(x) for x in column.to_pylist()]
                 made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + made, names=names + [f.name for f in fields])
+        release()
 
     return df.mapInArrow(run, T.StructType(kept + fields))
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_scratch, scratch, slices
+from .common import drop_scratch, release, scratch, slices
 
 SHINGLE = 4
 SEED = 42
@@ -92,6 +92,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep_text: bool = True
             for part in slices(batch, text):
                 made = fingerprints([x or b"" for x in part.column(text).cast(pa.binary()).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(made.view(np.int64))], names=names + ["fp"])
+        release()
 
     return docs.mapInArrow(run, T.StructType([*kept, T.StructField("fp", T.LongType())]))
 
@@ -208,6 +209,8 @@ def _forests(batches):
             held, rows = [tuple(x[cut:] for x in whole)], len(whole[0]) - cut
     if held:
         yield edges([np.concatenate(x) for x in zip(*held, strict=True)])
+    held.clear()
+    release()
 
 
 def links(distinct: DataFrame) -> DataFrame:

@@ -46,8 +46,9 @@ AHEAD = 64
 #: Bytes of the rolling hash that makes triggers.
 GRAM = 12
 HOT_STRETCHES = 4096
-#: Bytes of stretches whose suffixes are ordered at once.
-ORDERED_BYTES = 2 << 20
+#: Bytes of texts parsed at once, and of stretches whose suffixes are ordered at once.
+PARSED_BYTES = 1 << 20
+ORDERED_BYTES = 1 << 20
 #: In the suffix stage, a phrase ends where the hash of PHRASE_GRAM bytes is 0 modulo PHRASE_MOD.
 PHRASE_GRAM, PHRASE_MOD = 6, 24
 KEYS = ["k1", "k2"]
@@ -148,7 +149,7 @@ def _take(batch: pa.RecordBatch, doc: np.ndarray) -> dict[str, pa.Array]:
 def _sliced(df: DataFrame, kernel, schema: str) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", ORDERED_BYTES):
+            for part in slices(batch, "text", PARSED_BYTES):
                 yield pa.RecordBatch.from_pydict(kernel(part))
         _POWERS.clear()
         release()
