@@ -117,8 +117,7 @@ def spans(streams: DataFrame, keys: list[str], data: str = "bytes", glyphs: Data
     else:
         rows = rows.withColumn("resolved", F.lit(None).cast("string"))
     for step, depth in (("step_half", "half"), ("step_private", "private")):
-        rows = rows.withColumn("within_", F.struct(*keys))
-        rows = clipped_depth(rows, "within_", ["span"], F.coalesce(F.col(step), F.lit(0)), depth).drop("within_")
+        rows = clipped_depth(rows, keys, ["span"], F.coalesce(F.col(step), F.lit(0)), depth)
     needs = F.lit(None).cast("int")
     for op, size in [*PAYLOAD.items(), (0x4A, 2), (0x4E, 2), (0x4F, 34)]:
         needs = F.when(F.col("op") == f"{op:02x}", size).otherwise(needs)
@@ -158,9 +157,8 @@ def _joined(rows: DataFrame, keys: list[str], shown: Column, name: str) -> DataF
 def entry_text(decoded: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, text, headword): visible text of each entry; the head is the first head span's text, else the first line."""
     shown = _shown()
-    within = F.struct(*keys)
     head = F.when((F.col("tag") == "head") & (F.col("role") == "start"), 1).when((F.col("tag") == "head") & (F.col("role") == "end"), -1).otherwise(0)
-    rows = clipped_depth(decoded.withColumn("within_", within), "within_", ["span"], head, "in_head")
+    rows = clipped_depth(decoded, keys, ["span"], head, "in_head")
     parts = lambda keep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("span", shown.alias("s"))))), lambda p: p["s"]), "")
     seen = ~F.col("hidden") & F.col("kind").isin("break", "text", "ascii", "glyph")
     made = rows.groupBy(*keys).agg(parts(seen).alias("text"), parts(seen & (F.col("in_head") > 0) & (F.col("kind") != "break")).alias("head"))
@@ -240,9 +238,9 @@ def index_rows(leaves: DataFrame) -> DataFrame:
     keys = ["package_id", "component", "page_idx", "row_idx"]
     decoded = spans(leaves.select(*keys, F.col("key_bytes").alias("bytes")), keys)
     named = _joined(decoded.filter(F.col("kind").isin("text", "ascii", "glyph")), keys, _shown(), "own_key").withColumn("own_key", narrowed(F.col("own_key")))
-    rows = leaves.drop("key_bytes").join(named, keys, "left").withColumn("within_", F.struct("package_id", "component"))
+    rows = leaves.drop("key_bytes").join(named, keys, "left")
     header = F.when(F.col("tag") == 0x80, F.struct("own_key", "count_hint"))
-    rows = filled(rows, "within_", ["page_idx", "row_idx"], header, "header").drop("within_")
+    rows = filled(rows, ["package_id", "component"], ["page_idx", "row_idx"], header, "header")
     grouped = F.col("tag") == 0xC0
     out = rows.filter(F.coalesce(F.col("tag") != 0x80, F.lit(True)))
     own = F.coalesce("own_key", F.lit(""))

@@ -4,63 +4,67 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 
-def slices(marks: DataFrame, within: str, start: str, ends: DataFrame, end: str) -> DataFrame:
+def _by(within: str | list[str]) -> WindowSpec:
+    return Window.partitionBy(*([within] if isinstance(within, str) else within))
+
+
+def slices(marks: DataFrame, within: str | list[str], start: str, ends: DataFrame, end: str) -> DataFrame:
     """Distinct sorted starts of each stream as [start, next); the last ends at the stream's end."""
-    w = Window.partitionBy(within).orderBy(start)
+    w = _by(within).orderBy(start)
     own = marks.select(within, start).distinct().join(ends.select(within, F.col(end).alias("end_")), within)
     return own.withColumn("slice_end", F.coalesce(F.lead(start).over(w), F.col("end_"))).withColumn("slice", F.row_number().over(w)).drop("end_")
 
 
-def with_previous(rows: DataFrame, within: str, order: list[str], value: str, name: str) -> DataFrame:
-    return rows.withColumn(name, F.lag(value).over(Window.partitionBy(within).orderBy(*order)))
+def with_previous(rows: DataFrame, within: str | list[str], order: list[str], value: str, name: str) -> DataFrame:
+    return rows.withColumn(name, F.lag(value).over(_by(within).orderBy(*order)))
 
 
-def filled(rows: DataFrame, within: str, order: list[str], value: Column, name: str) -> DataFrame:
+def filled(rows: DataFrame, within: str | list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """rows with the last value so far that isn't null."""
-    w = Window.partitionBy(within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w = _by(within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
-def clipped_depth(rows: DataFrame, within: str, order: list[str], step: Column, name: str = "depth") -> DataFrame:
+def clipped_depth(rows: DataFrame, within: str | list[str], order: list[str], step: Column, name: str = "depth") -> DataFrame:
     """rows with a running sum of step that never falls below zero: the sum less its least value so far, if negative."""
-    w = Window.partitionBy(within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w = _by(within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("sum_", F.sum(step).over(w))
     return summed.withColumn(name, F.col("sum_") - F.least(F.lit(0), F.min("sum_").over(w))).drop("sum_")
 
 
-def paths(rows: DataFrame, within: str, order: str, depth: str, label: str, deepest: int) -> DataFrame:
+def paths(rows: DataFrame, within: str | list[str], order: str, depth: str, label: str, deepest: int) -> DataFrame:
     """rows with path, the labels of their ancestors and themselves; depths run from 1 to deepest.
 
     The ancestor at depth d is the last row at depth d or less; it counts only if it is at d.
     """
-    w = Window.partitionBy(within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w = _by(within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     at = [F.last(F.when(F.col(depth) <= d, F.struct(F.col(depth).alias("d"), F.col(label).alias("l"))), ignorenulls=True).over(w) for d in range(1, deepest + 1)]
     named = rows.withColumn("up_", F.array(*at))
     kept = F.filter("up_", lambda x, k: x.isNotNull() & (x["d"] == k + 1) & (k < F.col(depth)))
     return named.withColumn("path", F.transform(kept, lambda x: x["l"])).drop("up_")
 
 
-def islands(rows: DataFrame, within: str, start: str, end: str) -> DataFrame:
+def islands(rows: DataFrame, within: str | list[str], start: str, end: str) -> DataFrame:
     """Inclusive intervals merged where they overlap or adjoin: (within, island_start, island_end)."""
-    order = Window.partitionBy(within).orderBy(start, end)
+    order = _by(within).orderBy(start, end)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.when(F.col(start) > F.max(end).over(before) + 1, 1).otherwise(0)
     numbered = rows.select(within, start, end, fresh.alias("new_")).withColumn("island_", F.sum("new_").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(within, "island_").agg(F.min(start).alias("island_start"), F.max(end).alias("island_end")).drop("island_")
 
 
-def gaps(merged: DataFrame, within: str, first: Column, last: Column) -> DataFrame:
+def gaps(merged: DataFrame, within: str | list[str], first: Column, last: Column) -> DataFrame:
     """What islands leave of [first, last], inclusive: (within, gap_start, gap_end)."""
-    w = Window.partitionBy(within).orderBy("island_start")
+    w = _by(within).orderBy("island_start")
     ahead = merged.select(within, F.coalesce(F.lag("island_end").over(w) + 1, first).alias("gap_start"), (F.col("island_start") - 1).alias("gap_end"))
     tail = merged.groupBy(within).agg((F.max("island_end") + 1).alias("gap_start")).select(within, "gap_start", last.alias("gap_end"))
     return ahead.unionByName(tail).filter("gap_start <= gap_end")
 
 
-def preceding_within(rows: DataFrame, within: str, at: str, reach: int, value: Column, name: str) -> DataFrame:
+def preceding_within(rows: DataFrame, within: str | list[str], at: str, reach: int, value: Column, name: str) -> DataFrame:
     """rows with the last value that isn't null among the rows at most reach before them, by value of `at`, themselves excluded."""
-    w = Window.partitionBy(within).orderBy(at).rangeBetween(-reach, -1)
+    w = _by(within).orderBy(at).rangeBetween(-reach, -1)
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))

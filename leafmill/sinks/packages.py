@@ -6,12 +6,14 @@ A package is built where its entries meet; the format bounds it (65,535 chunks o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from leafmill.sources.packages import CATALOG_MAGIC, CHUNK, COMPONENT_MAGIC, ENTRY_MARK, RECORD
 from leafmill.functions.bytes import BLOCK
+from leafmill.sources.packages import CATALOG_MAGIC, CHUNK, COMPONENT_MAGIC, ENTRY_MARK, RECORD
 
 BREAK = b"\x1f\x0a"
 HEAD, HEAD_END = b"\x1f\x41\x00\x00", b"\x1f\x61"
@@ -19,10 +21,15 @@ HALF, HALF_END = b"\x1f\x04", b"\x1f\x05"
 FIRST_BLOCK = 2
 
 
+@cache
+def _cell_of(c: str) -> bytes:
+    wide = "　" if c == " " else chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c
+    return wide.encode("iso2022_jp", "replace").removeprefix(b"\x1b$B").removesuffix(b"\x1b(B").ljust(2, b"?")[:2]
+
+
 def cells(text: str) -> bytes:
     """Text as two-byte cells, ASCII by its full-width forms; what has no cell becomes the placeholder cell."""
-    wide = "".join("　" if c == " " else chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in text)
-    return b"".join(c.encode("iso2022_jp", "replace").removeprefix(b"\x1b$B").removesuffix(b"\x1b(B").ljust(2, b"?")[:2] for c in wide)
+    return b"".join(map(_cell_of, text))
 
 
 def _padded(data: bytes) -> bytes:
@@ -35,7 +42,9 @@ def component(data: bytes, start_block: int, kind: int) -> bytes:
     bodies = []
     for at in range(0, len(data), CHUNK):
         part = data[at : at + CHUNK]
-        bodies.append(bytes(2) + len(part).to_bytes(2, "big") + bytes(1) + b"".join(bytes((0, 0, c)) for c in part))
+        literal = np.zeros((len(part), 3), np.uint8)
+        literal[:, 2] = np.frombuffer(part, np.uint8)
+        bodies.append(bytes(2) + len(part).to_bytes(2, "big") + bytes(1) + literal.tobytes())
     head = bytearray(64)
     head[:8], head[15] = COMPONENT_MAGIC, kind
     head[0x16:0x18] = len(bodies).to_bytes(2, "big")

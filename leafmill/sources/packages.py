@@ -9,6 +9,7 @@ Errors are rows: a file that is no component has status 'opaque', a missing one
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,26 +92,39 @@ def components(cats: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def _expanded(raw: bytes) -> bytes:
-    """One chunk: commands of three bytes, of which each copies from a ring window and adds a byte."""
+    """One chunk: three-byte commands, each a copy of up to 15 bytes from at most WINDOW back, then a literal.
+
+    What lies before the chunk's begin is its fill byte. The last command adds nothing
+    once whole blocks are full. Runs of commands without a copy are taken as a whole.
+    """
     if raw is None or len(raw) < 5:
         return b""
-    commands, ring, out, at = int.from_bytes(raw[2:4], "big"), bytearray(raw[4:5] * WINDOW), bytearray(), 0
-
-    def full(last: bool) -> bool:
-        return len(out) >= CHUNK or (last and len(out) % BLOCK == 0)
-
-    for k in range(min(commands, (len(raw) - 5) // 3)):
-        high, low, literal = raw[5 + 3 * k : 8 + 3 * k]
-        last, back, copies = k == commands - 1, high << 4 | low >> 4, low & 15
-        while copies and not full(last):
-            ring[at] = value = ring[(back + at) % WINDOW]
-            out.append(value)
-            at, copies = (at + 1) % WINDOW, copies - 1
-        if copies or full(last):
+    n = min(int.from_bytes(raw[2:4], "big"), (len(raw) - 5) // 3)
+    stated = int.from_bytes(raw[2:4], "big")
+    commands = np.frombuffer(raw, np.uint8, 3 * n, 5).reshape(n, 3).astype(np.int64)
+    literals, copies = commands[:, 2].astype(np.uint8).tobytes(), commands[:, 1] & 15
+    reach = WINDOW - (commands[:, 0] << 4 | commands[:, 1] >> 4) % WINDOW
+    fill, out = raw[4], bytearray()
+
+    def room(k: int) -> bool:
+        return len(out) < CHUNK and not (k == stated - 1 and len(out) % BLOCK == 0)
+
+    done = 0
+    for k in [*np.flatnonzero(copies).tolist(), n]:
+        out += literals[done : min(k, n - 1)][: CHUNK - len(out)]
+        if k == n:
+            if done < n and room(n - 1):
+                out += literals[n - 1 :]
+            break
+        for _ in range(int(copies[k])):
+            if not room(k):
+                return bytes(out)
+            place = len(out) - int(reach[k])
+            out.append(out[place] if place >= 0 else fill)
+        if not room(k):
             break
-        ring[at] = literal
-        out.append(literal)
-        at = (at + 1) % WINDOW
+        out += literals[k : k + 1]
+        done = k + 1
     return bytes(out)
 
 
@@ -129,7 +143,9 @@ def chunks(comps: DataFrame) -> DataFrame:
     k = F.col("chunk_idx")
     end = F.when(k + 1 < F.col("n_chunks"), place(k + 1)).otherwise(F.octet_length(data))
     raw = F.substr(data, (place(k) + 1).cast("int"), (end - place(k)).cast("int"))
-    return cut.select("package_id", "component", "ctype", "start_block", "chunk_idx", expand(raw).alias("bytes"))
+    # Chunks of a large component go to many tasks before they are expanded.
+    dealt = cut.select("package_id", "component", "ctype", "start_block", "chunk_idx", raw.alias("raw")).repartition(2 * comps.sparkSession.sparkContext.defaultParallelism, "package_id", "component", "chunk_idx")
+    return dealt.select("package_id", "component", "ctype", "start_block", "chunk_idx", expand(F.col("raw")).alias("bytes"))
 
 
 def pages(expanded: DataFrame) -> DataFrame:
