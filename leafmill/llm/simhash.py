@@ -268,7 +268,9 @@ def fp_hex(fp: Column) -> Column:
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component_id) of every row."""
     marked = scratch(with_fingerprint(docs.select(key, text), text, keep_text=False), "fingerprints")
-    return marked.join(components(marked, key).select("fp", F.col("component").alias("component_id")), "fp").select(key, "fp", "component_id")
+    # Written first, so that the join's sides come straight from shuffles and a hot fingerprint's partition can split.
+    found = scratch(components(marked, key).select("fp", F.col("component").alias("component_id")), "components")
+    return marked.join(found, "fp").select(key, "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
