@@ -361,22 +361,24 @@ def removed_spans(docs: DataFrame, text: str, kernel_fields: list[T.StructField]
     body = text_as_bytes(F.col(text))
     long = docs.select(*text_key(body), body.alias("text")).filter(F.octet_length("text") >= LENGTH)
     texts = long.groupBy(*KEYS).agg(F.count("*").alias("copies"), F.max("text").alias("text"))
+    # What occurs twice is written before it is joined: both sides of the join then come
+    # straight from shuffles, and Spark splits the partition of a hot hash.
     # 1. Anchors that occur twice.
     anchors = _sliced(texts, _anchor_rows, "h long, k1 long, k2 long, place long")
-    twice = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    twice = scratch(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "twice")
     places = anchors.join(twice, "h", "left_semi").groupBy(*KEYS).agg(F.collect_list("place").alias("places"))
     # 2. Phrases that occur twice.
     phrases = scratch(_sliced(texts.join(places, KEYS), _phrase_rows, "e1 long, e2 long, k1 long, k2 long, low long, high long, anchor long"), "phrases")
     spot = F.struct("k1", "k2", "low")
-    again = phrases.groupBy("e1", "e2").agg(F.count("*").alias("n"), F.min(spot).alias("first")).filter("n > 1").select("e1", "e2", "first")
+    again = scratch(phrases.groupBy("e1", "e2").agg(F.count("*").alias("n"), F.min(spot).alias("first")).filter("n > 1").select("e1", "e2", "first"), "again")
     known = scratch(phrases.join(again, ["e1", "e2"], "left").select(*KEYS, "low", "high", "anchor", F.col("first").isNotNull().alias("repeated"), F.coalesce(F.col("first") == spot, F.lit(False)).alias("stands")), "known")
     # 3. Stretches in which a repeat begins or ends, and one copy of each repeated phrase with such an anchor.
     open_ = known.filter(~F.col("repeated") & F.col("anchor").isNotNull())
-    asked = open_.groupBy("anchor").agg(F.count("*").alias("asks"))
-    stands = known.filter(F.col("stands") & F.col("anchor").isNotNull()).join(asked.select("anchor"), "anchor", "left_semi")
+    asked = scratch(open_.groupBy("anchor").agg(F.count("*").alias("asks")).select("anchor"), "asked")
+    stands = known.filter(F.col("stands") & F.col("anchor").isNotNull()).join(asked, "anchor", "left_semi")
     live = open_.select(*KEYS, "low", "high", "anchor", F.lit(True).alias("wanted")).unionByName(stands.select(*KEYS, "low", "high", "anchor", F.lit(False).alias("wanted")))
-    crowd = live.groupBy("anchor").agg(F.count("*").alias("n"))
-    sized = scratch(live.join(crowd.filter("n > 1"), "anchor"), "live")  # alone at its anchor: repeated nowhere
+    crowd = scratch(live.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "crowd")
+    sized = scratch(live.join(crowd, "anchor"), "live")  # alone at its anchor: repeated nowhere
     ranges = F.collect_list(F.struct("low", "high", "anchor", "wanted")).alias("ranges")
     cool, hot = (sized.filter(c).groupBy(*KEYS).agg(ranges) for c in (F.col("n") <= HOT_STRETCHES, F.col("n") > HOT_STRETCHES))
     stretches = _sliced(texts.join(cool, KEYS), _stretch_rows, "anchor long, k1 long, k2 long, low long, wanted boolean, body binary")
