@@ -5,7 +5,6 @@ A package is built where its entries meet; the format bounds it (65,535 chunks o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -19,6 +18,7 @@ BREAK = b"\x1f\x0a"
 HEAD, HEAD_END = b"\x1f\x41\x00\x00", b"\x1f\x61"
 HALF, HALF_END = b"\x1f\x04", b"\x1f\x05"
 FIRST_BLOCK = 2
+LEAF, FIRST_SIBLING, LAST_SIBLING = 0x8000, 0x4000, 0x2000
 
 
 @cache
@@ -69,17 +69,45 @@ def catalog(title: str, parts: list[tuple[str, int, int, int]]) -> bytes:
     return bytes(head) + records
 
 
-def leaf_pages(rows: list[bytes], flag: int = 0x8000) -> Iterator[bytes]:
-    """Records packed in order into pages of one block."""
-    held: list[bytes] = []
-    size = 4
-    for row in [*rows, b""]:
-        if held and (not row or size + len(row) > BLOCK):
-            yield (flag.to_bytes(2, "big") + len(held).to_bytes(2, "big") + b"".join(held)).ljust(BLOCK, b"\0")
+def tree_pages(rows: list[tuple[bytes, bytes]], first_block: int) -> list[bytes]:
+    """Pages of an index tree over sorted (key, record) rows, level by level from the root.
+
+    A branch row has the greatest key below its child; the last row of the last page of a
+    level is a sentinel. The first page of a level and the last are flagged.
+    """
+    leaves, held, size = [], [], 4
+    for row in rows:
+        if held and size + len(row[1]) > BLOCK:
+            leaves.append(held)
             held, size = [], 4
-        if row:
-            held.append(row)
-            size += len(row)
+        held.append(row)
+        size += len(row[1])
+    leaves.append(held)
+    levels: list[list[list]] = [leaves]
+    highs = [[page[-1][0] if page else b"" for page in leaves]]
+    while len(levels[0]) > 1:
+        width = max(2, min(254, max(map(len, highs[0]))))
+        per_page = (BLOCK - 4) // (width + 4)
+        groups = [list(range(k, min(k + per_page, len(levels[0])))) for k in range(0, len(levels[0]), per_page)]
+        levels.insert(0, groups)
+        highs.insert(0, [highs[0][g[-1]] for g in groups])
+    starts, at = [], first_block
+    for level in levels:
+        starts.append(at)
+        at += len(level)
+    pages = []
+    for depth, level in enumerate(levels):
+        for k, page in enumerate(level):
+            flags = (FIRST_SIBLING if k == 0 else 0) | (LAST_SIBLING if k == len(level) - 1 else 0)
+            if depth == len(levels) - 1:
+                body, word = b"".join(r for _, r in page), LEAF | flags
+            else:
+                width = max(2, min(254, max(map(len, highs[depth + 1]))))
+                final = k == len(level) - 1
+                keys = [b"\xff" * width if final and child == page[-1] else highs[depth + 1][child][:width] for child in page]
+                body, word = b"".join(key.ljust(width, b"\0") + (starts[depth + 1] + child).to_bytes(4, "big") for key, child in zip(keys, page, strict=True)), width | flags
+            pages.append((word.to_bytes(2, "big") + len(page).to_bytes(2, "big") + body).ljust(BLOCK, b"\0"))
+    return pages
 
 
 def build(package_id: str, title: str, entries: list[tuple[str, str]]) -> list[tuple[str, str, bytes]]:
@@ -95,8 +123,8 @@ def build(package_id: str, title: str, entries: list[tuple[str, str]]) -> list[t
     title_at = body_at + len(_padded(body)) // BLOCK
     index_at = title_at + len(_padded(titles)) // BLOCK
     order = sorted(range(len(entries)), key=lambda k: cells(entries[k][0]))
-    rows = [bytes([len(key := cells(entries[k][0])[:254])]) + key + pointer(body_at, places[k][0]) + pointer(title_at, places[k][1]) for k in order]
-    index = b"".join(leaf_pages(rows))
+    rows = [(key := cells(entries[k][0])[:254], bytes([len(key)]) + key + pointer(body_at, places[k][0]) + pointer(title_at, places[k][1])) for k in order]
+    index = b"".join(tree_pages(rows, index_at))
     parts = [("BODY.BIN", 0x00, body_at, title_at - 1, body), ("TITLE.BIN", 0x05, title_at, index_at - 1, titles), ("INDEX.BIN", 0x91, index_at, index_at + len(index) // BLOCK - 1, index)]
     made = [(package_id, name, component(data, first, kind)) for name, kind, first, _, data in parts]
     return [(package_id, "CATALOG.IDX", catalog(title, [p[:4] for p in parts])), *made]
