@@ -79,9 +79,9 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     codes, owners = [], []
     code = flat.copy()
     for k in range(1, max(NGRAMS)):
-        code[: len(code) - k] = code[: len(code) - k] * np.uint64(257) + flat[k:]
+        code = code[: max(len(flat) - k, 0)] * np.uint64(257) + flat[k:]
         if k + 1 in NGRAMS:
-            whole = place + k < ends
+            whole = np.flatnonzero(place[: len(code)] + k < ends[: len(code)])
             mixed = (code[whole] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(32)
             codes.append(((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64))
