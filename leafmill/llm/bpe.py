@@ -31,7 +31,7 @@ from .common import Numbers, release, slices
 #: White_Space, which \s means in the tokenizer's own engine; Python's \s also has U+001C to U+001F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Pieces encoded by one query, and the steps after which it starts anew from its last state.
-BATCH = 40_000
+BATCH = 20_000
 STEPS = 24
 LONG_PIECE = 400
 POSITION_BITS = 28
@@ -44,27 +44,31 @@ WITH RECURSIVE step AS (
   UNION ALL
   (WITH cur AS (SELECT key, tok, len, n FROM step WHERE NOT done AND n < {steps}),
   pairs AS (
-    SELECT a.key, m.out, m.calm, a.tok = b.tok AS twin, a.len AS alen, b.len AS blen
+    SELECT a.key, a.key >> {bits} AS piece, m.out, m.calm, a.tok = b.tok AS twin, a.len AS alen, b.len AS blen
     FROM cur a JOIN cur b ON b.key = a.key + a.len JOIN merges m ON m.pair = (a.tok << 20 | b.tok)),
-  best AS (SELECT key >> {bits} AS piece, min(out) AS out FROM pairs GROUP BY 1),
-  {hit}
+  {hit},
+  change AS (SELECT key, out, blen, false AS gone FROM hit UNION ALL SELECT key + alen, NULL, NULL, true FROM hit)
   SELECT c.key, COALESCE(h.out, c.tok) AS tok, c.len + COALESCE(h.blen, 0) AS len, w.piece IS NULL AS done, c.n + 1 AS n
-  FROM cur c LEFT JOIN hit h ON h.key = c.key LEFT JOIN best w ON w.piece = c.key >> {bits}
-  WHERE NOT EXISTS (SELECT 1 FROM hit g WHERE g.gone = c.key))
+  FROM cur c LEFT JOIN change h ON h.key = c.key LEFT JOIN {pieces} w ON w.piece = c.key >> {bits}
+  WHERE h.gone IS NOT TRUE)
 )
 SELECT key, tok, len, done FROM step WHERE done OR n = {steps}
 """
-_LEFTMOST = """hit AS (
-    SELECT p.key, p.out, p.blen, p.key + p.alen AS gone FROM pairs p JOIN (
-      SELECT min(p.key) AS key FROM pairs p JOIN best b ON b.piece = p.key >> {bits} AND b.out = p.out GROUP BY b.piece) f ON f.key = p.key)"""
-_ALL_CALM = """least AS (
-    SELECT p.*, row_number() OVER (PARTITION BY b.piece ORDER BY p.key) AS rn, b.piece
-    FROM pairs p JOIN best b ON b.piece = p.key >> {bits} AND b.out = p.out),
+#: Short pieces: place and lengths fit in 9 bits each, so that one minimum finds the pair.
+_LEFTMOST = """least AS (SELECT piece, min((out << 27) | ((key & {mask}) << 18) | (alen << 9) | blen) AS v FROM pairs GROUP BY piece),
+  hit AS (SELECT piece, (piece << {bits}) | ((v >> 18) & 511) AS key, v >> 27 AS out, (v >> 9) & 511 AS alen, v & 511 AS blen FROM least)"""
+_ALL_CALM = """best AS (SELECT piece, min(out) AS out FROM pairs GROUP BY piece),
+  least AS (
+    SELECT p.*, row_number() OVER (PARTITION BY p.piece ORDER BY p.key) AS rn FROM pairs p JOIN best b ON b.piece = p.piece AND b.out = p.out),
   runs AS (SELECT *, row_number() OVER (PARTITION BY piece, key - rn * alen ORDER BY key) AS place FROM least),
   hit AS (
-    SELECT key, out, blen, key + alen AS gone FROM runs
+    SELECT piece, key, out, alen, blen FROM runs
     WHERE CASE WHEN calm THEN NOT twin OR place % 2 = 1 ELSE rn = 1 END)"""
-QUERY = {name: _PAIRS.format(steps=STEPS, bits=POSITION_BITS, hit=hit.format(bits=POSITION_BITS)) for name, hit in (("leftmost", _LEFTMOST), ("all", _ALL_CALM))}
+_FIXED = {"bits": POSITION_BITS, "mask": (1 << POSITION_BITS) - 1}
+QUERY = {
+    name: _PAIRS.format(steps=STEPS, hit=hit.format(**_FIXED), pieces=pieces, **_FIXED)
+    for name, hit, pieces in (("leftmost", _LEFTMOST, "hit"), ("all", _ALL_CALM, "(SELECT DISTINCT piece FROM hit)"))
+}
 DECODE = "SELECT seq, unhex(string_agg(v.digits, '' ORDER BY t.pos)) AS body FROM tokens t JOIN vocab v ON v.tok = t.tok GROUP BY seq"
 
 
