@@ -35,7 +35,17 @@ TAGS = {
 #: Operators that print nothing and pair with nothing.
 SILENT = {0x00: None, 0x02: None, 0x03: None, 0x1A: "tab_column", 0x1C: "media_layout", 0x36: "renderer_skip", 0x37: "renderer_skip", 0x48: "renderer_skip", 0x4B: "renderer_skip", 0x4C: "renderer_skip", 0x4E: "renderer_skip", 0x4F: "renderer_skip", 0xE4: "renderer_private", 0xE6: "renderer_private"}
 HTML_TAGS = {"bold": "b", "italic": "i", "sub": "sub", "sup": "sup", "em": "em", "head": "h3", "literal": "span", "url": "span"}
-SIMPLE_LEAF, TAGGED_LEAF, LEAF_FLAG = [0x71, 0x72, 0x91, 0x92], [0x70, 0x90], 0x8000
+LEAF_FLAG, GROUP, TARGETS = 0x8000, 0x80, [0xC0, 0xB0]
+#: (component types, records (tag, has a key, bytes before the key, bytes after it)) of leaf pages.
+GRAMMARS = [
+    ([0x71, 0x72, 0x91, 0x92], [(None, True, 0, 12)]),
+    ([0x60], [(None, True, 0, 6)]),
+    ([0x70, 0x90], [(0x00, True, 0, 12), (0x80, True, 2, 0), (0xC0, True, 0, 12)]),
+    ([0x30], [(0x00, True, 0, 6), (0x80, True, 2, 0), (0xC0, True, 0, 6)]),
+    ([0x80], [(0x00, True, 0, 12), (0x80, True, 4, 6), (0xC0, False, 0, 6), (0xB0, False, 0, 6)]),
+    ([0x81], [(0x00, True, 0, 12), (0x80, True, 4, 6), (0xC0, False, 0, 6)]),
+    ([0xA1], [(0x00, True, 0, 12), (0x80, True, 4, 0), (0xC0, False, 0, 12)]),
+]
 
 
 def _byte(k: int) -> str:
@@ -198,53 +208,95 @@ def titles(streams: DataFrame, keys: list[str]) -> DataFrame:
     return made.filter("text <> ''")
 
 
-def _records(tags: dict[int | None, int]) -> str:
-    """Alternatives for records: an optional tag byte, a length byte, `extra` bytes before or after a key of that length. Zero ends the page."""
+def _record_pattern(shapes: list[tuple[int | None, bool, int, int]]) -> str:
+    """Alternatives for the records of a grammar: a tag, a length byte, and so many bytes; a zero length ends the page."""
     out = []
-    for tag, extra in tags.items():
+    for tag, keyed, before, after in shapes:
         lead = "" if tag is None else _byte(tag)
-        lows = range(1, 256) if tag is None else range(256)
-        out += [f"{lead}{_byte(n)}.{{{n + extra}}}" for n in lows if (tag, n) != (0, 0)]
+        if not keyed:
+            out.append(f"{lead}.{{{after}}}")
+            continue
+        out += [f"{lead}{_byte(n)}.{{{before + n + after}}}" for n in range(256) if n or tag not in (None, 0)]
     return "(?s)" + "|".join([*out, ".+"])
 
 
 def index_leaves(pages: DataFrame) -> DataFrame:
-    """(package_id, component, page_idx, row_idx, tag, key_bytes, count_hint, body, title): records of simple and tagged leaf pages.
+    """(package_id, component, page_idx, row_idx, tag, keyed, key_bytes, count_hint, body, title): records of leaf pages in all grammars.
 
     body and title are struct(block, offset). A record that doesn't fit ends its page.
     """
     leaf = pages.filter(be(F.col("page"), 0, 2).bitwiseAND(LEAF_FLAG) != 0)
-    body = F.decode(F.substr("page", F.lit(5), F.lit(4096)), "ISO-8859-1")
-    tagged = F.col("ctype").isin(TAGGED_LEAF)
-    cut = F.when(tagged, F.regexp_extract_all(body, F.lit(_records({0x00: 12, 0x80: 2, 0xC0: 12})), 0)).when(F.col("ctype").isin(SIMPLE_LEAF), F.regexp_extract_all(body, F.lit(_records({None: 12})), 0))
-    rows = leaf.select("package_id", "component", "page_idx", tagged.alias("tagged"), be(F.col("page"), 2, 2).alias("count"), F.posexplode(cut).alias("k", "record"))
-    raw = F.encode("record", "ISO-8859-1")
-    rows = rows.filter("k < count").withColumn("raw", raw)
-    tag = F.when(F.col("tagged"), be(F.col("raw"), 0, 1).cast("int"))
-    size = F.when(F.col("tagged"), be(F.col("raw"), 1, 1)).otherwise(be(F.col("raw"), 0, 1)).cast("int")
-    rows = rows.withColumn("tag", tag).withColumn("size", size).withColumn("skip", F.when(F.col("tag") == 0x80, 4).when(F.col("tagged"), 2).otherwise(1))
-    whole = F.col("size") + F.col("skip") + F.when(F.col("tag") == 0x80, 0).otherwise(12)
-    rows = rows.filter((F.octet_length("raw") == whole) & (F.col("tag").isNull() | F.col("tag").isin(0x00, 0x80, 0xC0)))
-    at = F.col("skip") + F.col("size")
-    points = lambda d: F.when(F.coalesce(F.col("tag") != 0x80, F.lit(True)), F.struct(be(F.col("raw"), at + d, 4).alias("block"), be(F.col("raw"), at + d + 4, 2).cast("int").alias("offset")))
+    page = F.decode(F.substr("page", F.lit(5), F.lit(4096)), "ISO-8859-1")
+    cut = F.lit(None).cast("array<string>")
+    for types, shapes in GRAMMARS:
+        cut = F.when(F.col("ctype").isin(types), F.regexp_extract_all(page, F.lit(_record_pattern(shapes)), 0)).otherwise(cut)
+    rows = leaf.select("package_id", "component", "page_idx", "ctype", be(F.col("page"), 2, 2).alias("count"), F.posexplode(cut).alias("k", "record")).filter("k < count")
+    rows = rows.withColumn("raw", F.encode("record", "ISO-8859-1"))
+    shape = F.lit(None).cast("struct<tag:int,keyed:boolean,before:int,after:int>")
+    for types, shapes in GRAMMARS:
+        for tag, keyed, before, after in shapes:
+            ours = F.col("ctype").isin(types) if tag is None else F.col("ctype").isin(types) & (be(F.col("raw"), 0, 1) == tag)
+            shape = F.when(ours, F.struct(F.lit(tag).cast("int").alias("tag"), F.lit(keyed).alias("keyed"), F.lit(before).alias("before"), F.lit(after).alias("after"))).otherwise(shape)
+    rows = rows.withColumn("s", shape).select("*", "s.*").filter("s is not null")
+    lead = F.when(F.col("tag").isNull(), 1).when(F.col("keyed"), 2).otherwise(1)
+    rows = rows.withColumn("lead", lead).withColumn("size", F.when(F.col("keyed"), be(F.col("raw"), F.col("lead") - 1, 1).cast("int")).otherwise(0))
+    at = F.col("lead") + F.col("before") + F.col("size")
+    rows = rows.filter(F.octet_length("raw") == at + F.col("after"))
+    header = F.coalesce(F.col("tag") == GROUP, F.lit(False))
+    points = lambda d: F.struct(be(F.col("raw"), at + d, 4).alias("block"), be(F.col("raw"), at + d + 4, 2).cast("int").alias("offset"))
+    title = F.when((F.col("after") == 12), points(6)).when(header & (F.col("after") == 6), points(0))
+    hint = F.when(header, F.when(F.col("before") == 4, be(F.col("raw"), F.col("lead"), 4)).otherwise(be(F.col("raw"), F.col("lead"), 2)))
     return rows.select(
-        "package_id", "component", "page_idx", (F.col("k") + 1).alias("row_idx"), "tag", F.substr("raw", F.col("skip") + 1, F.col("size")).alias("key_bytes"),
-        F.when(F.col("tag") == 0x80, be(F.col("raw"), 2, 2)).alias("count_hint"), points(0).alias("body"), points(6).alias("title"),
+        "package_id", "component", "page_idx", (F.col("k") + 1).alias("row_idx"), "tag", "keyed", F.substr("raw", F.col("lead") + F.col("before") + 1, F.col("size")).alias("key_bytes"),
+        hint.alias("count_hint"), F.when(~header, points(0)).alias("body"), title.alias("title"),
     )
 
 
+def decoded_keys(rows: DataFrame, keys: list[str], data: str = "key_bytes") -> DataFrame:
+    """(keys, own_key): key bytes as text, cells and glyphs decoded, full-width ASCII narrowed."""
+    decoded = spans(rows.select(*keys, F.col(data).alias("bytes")), keys)
+    return _joined(decoded.filter(F.col("kind").isin("text", "ascii", "glyph")), keys, _shown(), "own_key").withColumn("own_key", narrowed(F.col("own_key")))
+
+
 def index_rows(leaves: DataFrame) -> DataFrame:
-    """Leaf rows with key and target_key; grouped targets take the key of the last group header, also of an earlier page."""
+    """Leaf rows with key and target_key; grouped targets take the key of the last group header, also of an earlier page.
+
+    A target without a title takes its header's, and else its body's place.
+    """
     keys = ["package_id", "component", "page_idx", "row_idx"]
-    decoded = spans(leaves.select(*keys, F.col("key_bytes").alias("bytes")), keys)
-    named = _joined(decoded.filter(F.col("kind").isin("text", "ascii", "glyph")), keys, _shown(), "own_key").withColumn("own_key", narrowed(F.col("own_key")))
-    rows = leaves.drop("key_bytes").join(named, keys, "left")
-    header = F.when(F.col("tag") == 0x80, F.struct("own_key", "count_hint"))
+    rows = leaves.drop("key_bytes").join(decoded_keys(leaves, keys), keys, "left")
+    header = F.when(F.col("tag") == GROUP, F.struct("own_key", "count_hint", F.col("title").alias("group_title")))
     rows = filled(rows, ["package_id", "component"], ["page_idx", "row_idx"], header, "header")
-    grouped = F.col("tag") == 0xC0
-    out = rows.filter(F.coalesce(F.col("tag") != 0x80, F.lit(True)))
+    grouped = F.coalesce(F.col("tag").isin(TARGETS), F.lit(False))
+    out = rows.filter(F.coalesce(F.col("tag") != GROUP, F.lit(True)))
     own = F.coalesce("own_key", F.lit(""))
+    key = F.when(grouped, F.coalesce("header.own_key", own)).otherwise(own)
     return out.select(
-        *keys, F.when(grouped, F.coalesce("header.own_key", own)).otherwise(own).alias("key"), own.alias("target_key"), "body", "title", F.coalesce(grouped, F.lit(False)).alias("tagged"),
-        F.when(grouped, F.col("header.count_hint")).alias("count_hint"), F.coalesce(grouped & F.col("header").isNull(), F.lit(False)).alias("continued"),
+        *keys, key.alias("key"), F.when(F.col("keyed"), own).otherwise(key).alias("target_key"), "body", F.coalesce("title", F.when(grouped, F.col("header.group_title")), "body").alias("title"), grouped.alias("tagged"),
+        F.when(grouped, F.col("header.count_hint")).alias("count_hint"), (grouped & F.col("header").isNull()).alias("continued"),
     )
+
+
+def page_accounting(pages: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(package_id, component, page_idx, stated, read, issue): records that leaf pages state and that were read."""
+    word, count = be(F.col("page"), 0, 2), be(F.col("page"), 2, 2)
+    stated = pages.filter(word.bitwiseAND(LEAF_FLAG) != 0).select("package_id", "component", "page_idx", count.alias("stated"))
+    read = leaves.groupBy("package_id", "component", "page_idx").agg(F.count("*").alias("read"))
+    met = stated.join(read, ["package_id", "component", "page_idx"], "left").fillna(0, ["read"])
+    return met.withColumn("issue", F.when(F.col("read") < F.col("stated"), "short_page"))
+
+
+def doc_nodes(decoded: DataFrame, keys: list[str], deepest: int = 8) -> DataFrame:
+    """(keys, node_id, parent_id, kind, tag, text, payload): an entry's spans as a tree, each node with its open tag's node.
+
+    Start tags are nodes; what stands between a start and its end has it as parent, up to
+    `deepest` levels; a span outside all tags has parent 0.
+    """
+    order = Window.partitionBy(*keys).orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("role") == "start", 1).when(F.col("role") == "end", -1).otherwise(0)
+    rows = clipped_depth(decoded.filter(~F.col("hidden")), keys, ["span"], step, "depth")
+    opened = [F.last(F.when((F.col("role") == "start") & (F.col("depth") == d), F.col("span")), ignorenulls=True).over(order) for d in range(1, deepest + 1)]
+    rows = rows.withColumn("open_", F.array(*opened)).filter((F.col("role").isNull() | (F.col("role") == "start")) & F.col("kind").isin("text", "ascii", "glyph", "break", "media_ref", "section", "control"))
+    level = F.least(F.col("depth") - F.when(F.col("role") == "start", 1).otherwise(0), F.lit(deepest)).cast("int")
+    parent = F.when(level > 0, F.get("open_", level - 1) + 1).otherwise(0)
+    return rows.select(*keys, (F.col("span") + 1).alias("node_id"), F.coalesce(parent, F.lit(0)).cast("int").alias("parent_id"), F.when(F.col("role") == "start", "inline").otherwise(F.col("kind")).alias("kind"), "tag", F.when(F.col("role").isNull(), _shown()).alias("text"), "payload")

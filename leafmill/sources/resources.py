@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmill.functions.bytes import BLOCK, be, grid_code
+from leafmill.functions.bytes import BLOCK, be, grid_code, le
 from leafmill.functions.text import narrowed, unescaped
-from leafmill.operators.streams import glyph_text, spans
+from leafmill.operators.streams import decoded_keys, glyph_text, spans
 from leafmill.operators.windows import paths
 from leafmill.sources.packages import BODY_TYPE, CHUNK
 
@@ -216,3 +216,51 @@ def families(listed: DataFrame, catalog_magic: bytes) -> DataFrame:
         F.bool_or(name.isin("menudata.xml", "config.xml", "vertical.xml")).alias("viewer"),
     )
     return seen.select("dir", F.when(F.col("catalog"), "catalog").when(F.col("payload"), "payload").when(F.col("viewer"), "multi_view").otherwise("unknown").alias("family"))
+
+
+def panels(files: DataFrame) -> DataFrame:
+    """(package_id, name, layout, idx, record_id, block, offset, text_bytes, label): fixed records behind an 8-byte header.
+
+    Layouts are tried in order by the size that they imply: records as counted, one fewer,
+    or fewer still, each without and with an id before the address. Other files give no rows.
+    """
+    data = F.col("content")
+    rows = files.select(F.col("dir").alias("package_id"), "name", "content", le(data, 0, 4).alias("count"), le(data, 4, 4).alias("width"), (F.octet_length(data) - 8).cast("long").alias("rest"))
+    layouts = F.lit(None).cast("struct<layout:string,lead:int,n:bigint>")
+    n = F.col("count")
+    for name, lead, many in reversed([
+        ("address_label", 8, n), ("id_address_label", 12, n), ("address_label_one_fewer", 8, n - 1), ("id_address_label_one_fewer", 12, n - 1),
+        ("address_label_fewer", 8, None), ("id_address_label_fewer", 12, None),
+    ]):
+        stride = F.col("width") + lead
+        if many is None:
+            fits, many = (F.col("rest") % stride == 0) & (F.floor(F.col("rest") / stride) <= n) & (F.col("width") > 0), F.floor(F.col("rest") / stride)
+        else:
+            fits = (F.col("rest") == many * stride) & (many >= 0)
+        layouts = F.when(fits, F.struct(F.lit(name).alias("layout"), F.lit(lead).alias("lead"), many.cast("bigint").alias("n"))).otherwise(layouts)
+    cut = rows.withColumn("l", layouts).filter("l.n > 0").select("*", "l.*").withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    at = (8 + F.col("idx") * (F.col("lead") + F.col("width"))).cast("int")
+    record = F.substr(data, at + 1, (F.col("lead") + F.col("width")).cast("int"))
+    cut = cut.withColumn("rec", record).withColumn("with_id", F.col("lead") == 12)
+    number = lambda k: F.when(F.col("with_id"), le(F.col("rec"), k + 4, 4)).otherwise(le(F.col("rec"), k, 4))
+    text = F.substr("rec", F.col("lead") + 1, F.col("width").cast("int"))
+    made = cut.select("package_id", "name", "layout", F.col("idx").cast("int").alias("idx"), F.when(F.col("with_id"), le(F.col("rec"), 0, 4)).alias("record_id"), number(0).alias("block"), number(4).alias("offset"), text.alias("text_bytes"))
+    keys = ["package_id", "name", "idx"]
+    shown = spans(made.select(*keys, F.col("text_bytes").alias("bytes")), keys).filter(F.col("kind").isin("text", "ascii", "glyph"))
+    value = F.when(F.col("kind") == "glyph", glyph_text(F.col("code"), F.col("resolved"))).otherwise(F.col("normalized"))
+    labels = shown.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", value.alias("s")))), lambda p: p["s"]), "").alias("label"))
+    return made.join(labels, keys, "left").withColumn("label", F.coalesce("label", F.lit("")))
+
+
+def suffix_keys(branches: DataFrame) -> DataFrame:
+    """Branch rows of a suffix index, whose keys are stored reversed, with `key` the right way round; absent chunks have no rows."""
+    keys = ["package_id", "component", "logical_block", "row_idx"]
+    return branches.join(decoded_keys(branches.withColumn("key_bytes", F.unhex("key_hex")), keys), keys, "left").withColumn("key", F.reverse(F.coalesce("own_key", F.lit("")))).drop("own_key")
+
+
+def chunk_presence(comps: DataFrame) -> DataFrame:
+    """(package_id, component, chunks, present, complete): how many of a component's chunks begin inside its file."""
+    place = lambda k: be(F.col("content"), k * 4 + 64, 4)
+    each = comps.filter("status = 'ok' and n_chunks > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))).withColumn("at", place(F.col("k")))
+    made = each.groupBy("package_id", "component").agg(F.count("*").alias("chunks"), F.count_if(F.col("at") + 5 <= F.col("size")).alias("present"))
+    return made.withColumn("complete", F.col("chunks") == F.col("present"))

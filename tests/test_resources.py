@@ -179,3 +179,25 @@ def test_verification_of_a_written_tree(spark):
     starts = rows.select("package_id", (F.col("body.block") * 2048 + F.col("body.offset")).alias("place"))
     wrong = starts.limit(3).withColumn("place", F.col("place") + 1)
     assert verify.pointer_issues(starts, starts, "off").count() == 0 and verify.pointer_issues(wrong, starts, "off").count() == 3
+
+
+def test_panels(spark):
+    le = lambda v: v.to_bytes(4, "little")
+    row = lambda block, at, label: le(block) + le(at) + sink.cells(label).ljust(8, b"\0")
+    plain, fewer = le(2) + le(8) + row(5, 6, "ab") + row(7, 8, "c"), le(9) + le(8) + row(1, 2, "x") + row(1, 2, "y")
+    with_id, wrong = le(1) + le(8) + le(77) + row(3, 4, "z"), le(1) + le(8) + b"?"
+    got = resources.panels(files(spark, ("a", "p", plain), ("b", "p", fewer), ("c", "p", with_id), ("d", "p", wrong), ("e", "p", le(0) + le(0)))).orderBy("package_id", "idx").collect()
+    assert [(r["package_id"], r["layout"], r["record_id"], r["block"], r["offset"], r["label"]) for r in got] == [
+        ("a", "address_label", None, 5, 6, "ａｂ"), ("a", "address_label", None, 7, 8, "ｃ"), ("b", "address_label_fewer", None, 1, 2, "ｘ"), ("b", "address_label_fewer", None, 1, 2, "ｙ"), ("c", "id_address_label", 77, 3, 4, "ｚ")]
+
+
+def test_suffix_index_with_absent_chunks(spark):
+    key = sink.cells("abc")[::-1]
+    page = (b"\x00\x06" + be(1, 2) + sink.cells("cba") + be(42, 4)).ljust(2048, b"\0")
+    df = spark.createDataFrame([("p", "S", 0xA1, 0, 9, bytearray(page))], "package_id string, component string, ctype int, page_idx int, logical_block long, page binary")
+    got = resources.suffix_keys(verify.branch_rows(df)).first()
+    assert (got["key"], got["child_block"]) == ("abc", 42) and key
+    data = sink.component(bytes(3 * 32768), 1, 0)
+    listed = files(spark, ("p", "C.IDX", sink.catalog("t", [("S.BIN", 0, 1, 48)])), ("p", "S.BIN", data[: len(data) // 2]))
+    seen = resources.chunk_presence(source.components(source.catalogs(listed), listed)).first()
+    assert (seen["chunks"], seen["present"], seen["complete"]) == (3, 2, False)

@@ -133,3 +133,32 @@ def test_broken_files_are_rows(spark):
     cats = source.catalogs(listed)
     assert {r["package_id"]: r["status"] for r in cats.collect()} == {"pkg": "ok", "q": "bad_catalog"}
     assert {r["component"]: r["status"] for r in source.components(cats, listed).collect()} == {"BODY.BIN": "ok", "TITLE.BIN": "missing", "INDEX.BIN": "opaque"}
+
+
+POINT = lambda block, at: block.to_bytes(4, "big") + at.to_bytes(2, "big")
+
+
+@pytest.mark.parametrize("ctype, records, want", [
+    (0x60, [b"\x02\x23\x61" + POINT(3, 4)], [("a", "a", 3, 3, None, False)]),
+    (0x30, [b"\x80\x02\x00\x05\x23\x61", b"\xc0\x02\x23\x62" + POINT(7, 8)], [("a", "b", 7, 7, 5, False)]),
+    (0x80, [b"\xc0" + POINT(1, 1), b"\x80\x02" + (9).to_bytes(4, "big") + b"\x23\x61" + POINT(50, 2), b"\xb0" + POINT(6, 1), b"\x00\x02\x23\x62" + POINT(2, 2) + POINT(3, 3)],
+     [("", "", 1, 1, None, True), ("a", "a", 6, 50, 9, False), ("b", "b", 2, 3, None, False)]),
+    (0x81, [b"\x80\x02" + (9).to_bytes(4, "big") + b"\x23\x61" + POINT(50, 2), b"\xc0" + POINT(6, 1), b"\xb0" + POINT(6, 2)], [("a", "a", 6, 50, 9, False)]),
+    (0xA1, [b"\x80\x02" + (2).to_bytes(4, "big") + b"\x23\x61", b"\xc0" + POINT(6, 1) + POINT(7, 1)], [("a", "a", 6, 7, 2, False)]),
+])
+def test_other_leaf_grammars(spark, ctype, records, want):
+    page = (b"\x80\x00" + len(records).to_bytes(2, "big") + b"".join(records)).ljust(2048, b"\0")
+    df = spark.createDataFrame([("p", "I", ctype, 0, bytearray(page))], "package_id string, component string, ctype int, page_idx int, page binary")
+    leaves = streams.index_leaves(df)
+    got = streams.index_rows(leaves).orderBy("row_idx").collect()
+    assert [(r["key"], r["target_key"], r["body"]["block"], r["title"]["block"], r["count_hint"], r["continued"]) for r in got] == want
+    account = streams.page_accounting(df, leaves).first()
+    assert account["stated"] == len(records) and (account["issue"] == "short_page") == (ctype == 0x81)
+
+
+def test_doc_nodes(spark):
+    data = b"\x1f\x41\x00\x00\x23\x61\x1f\x10\x23\x62\x1f\x11\x23\x63\x1f\x61\x1f\x0a\x23\x64\x1f\xe2\x00\x00\x23\x65\x1f\xe3"
+    df = spark.createDataFrame([("p", "BODY", 1, bytearray(data))], "package_id string, component string, entry_idx int, bytes binary")
+    got = streams.doc_nodes(streams.spans(df, KEYS), KEYS).orderBy("node_id").collect()
+    assert [(r["node_id"], r["parent_id"], r["kind"], r["tag"], r["text"]) for r in got if r["kind"] != "control"] == [
+        (1, 0, "inline", "head", None), (2, 1, "text", None, "ａ"), (3, 1, "inline", "italic", None), (4, 3, "text", None, "ｂ"), (6, 1, "text", None, "ｃ"), (8, 0, "break", None, "\n"), (9, 0, "text", None, "ｄ")]
