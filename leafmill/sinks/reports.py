@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.functions.text import escaped
+
 
 def sorted_struct(df: DataFrame, columns: list[str] | None = None) -> Column:
     """A struct of columns in the order of their names, nested structs too, so that its JSON is canonical."""
@@ -49,3 +51,26 @@ def markdown_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Table rows with pipes escaped."""
     safe = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in columns]
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *safe), F.lit(" |")).alias("value"))
+
+
+def write_bundle(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Each table as Parquet in a folder of its name, and (name, rows) of what was written."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    counts = [(name, spark.read.parquet(f"{path}/{name}").count()) for name in tables]
+    made = spark.createDataFrame(counts, "name string, rows long")
+    made.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    return made
+
+
+def write_pages(rendered: DataFrame, path: str, title: str = "headword", html: str = "html", by: str = "package_id") -> None:
+    """One HTML document for each entry, a line of a text file each, a folder for each package."""
+    page = F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), escaped(F.col(title)), F.lit("</title></head><body>"), F.regexp_replace(html, "[\\r\\n]", " "), F.lit("</body></html>"))
+    rendered.select(by, page.alias("value")).write.partitionBy(by).text(path)
+
+
+def linear_book(expanded: DataFrame) -> DataFrame:
+    """(package_id, place, bytes): each chunk at its place in one book, (start_block - 1) * 2048 from its component's first."""
+    place = (F.col("start_block") - 1) * 2048 + F.col("chunk_idx").cast("long") * 32768
+    return expanded.select("package_id", place.alias("place"), "bytes")
