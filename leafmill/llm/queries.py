@@ -90,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_preference": op10_preference,
 }
-ORACLE_SQL: dict[str, str] = {"op9_sharding": sharding.ORACLE, "op10_preference": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op7_quality_rules": quality.ORACLE, "op9_sharding": sharding.ORACLE, "op10_preference": chat.ORACLE}
