@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_scratch, free_name, scratch
+from .common import scratch
 
 HASH_BITS = 60
 #: Bits that a round looks beyond those that would do for even buckets.
@@ -40,11 +40,20 @@ def _prefix(h: str, bits: int) -> Column:
 
 
 def _split(cells: DataFrame, least: int, bits: int, limit: int) -> DataFrame:
-    """(cell, depth, prefix) for cells of `bits` bits: the shallowest prefix of least bits or more that fits; depth null: none does."""
+    """(cell, depth) for cells of `bits` bits: the depth of the bucket that holds each, of least or more; null if the cell itself is over the limit.
+
+    A bucket is a prefix that fits while its parent doesn't; each parent has two children,
+    and each bucket spreads over its own cells, so no prefix gathers rows.
+    """
     levels = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(least), F.lit(bits))).alias("depth"))
-    levels = levels.withColumn("prefix", F.expr(f"shiftright(cell, {bits} - depth)"))
-    fits = levels.groupBy("depth", "prefix").agg(F.sum("bytes").alias("all_bytes")).filter(F.col("all_bytes") <= limit)
-    return levels.join(fits, ["depth", "prefix"], "left").groupBy("cell").agg(F.min(F.when(F.col("all_bytes").isNotNull(), F.col("depth"))).alias("depth"))
+    sums = levels.groupBy("depth", F.expr(f"shiftright(cell, {bits} - depth)").alias("prefix")).agg(F.sum("bytes").alias("all_bytes"))
+    parents = sums.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"), (F.col("all_bytes") > limit).alias("parent_over"))
+    met = sums.withColumn("parent", F.shiftright("prefix", 1)).join(parents, ["depth", "parent"], "left")
+    fits = met.filter((F.col("all_bytes") <= limit) & F.coalesce("parent_over", F.lit(True)))
+    first, last = F.expr(f"shiftleft(prefix, {bits} - depth)"), F.expr(f"shiftleft(prefix + 1, {bits} - depth) - 1")
+    inside = fits.select(F.explode(F.sequence(first, last)).alias("cell"), "depth")
+    over = sums.filter((F.col("depth") == bits) & (F.col("all_bytes") > limit)).select(F.col("prefix").alias("cell"), F.lit(None).cast("int").alias("depth"))
+    return inside.unionByName(over)
 
 
 def assign(df: DataFrame, key: str, size: Column, carry: list[str], limit: int = SHARD_BYTES) -> DataFrame:
@@ -52,9 +61,10 @@ def assign(df: DataFrame, key: str, size: Column, carry: list[str], limit: int =
 
     A shard's name is 'b' and its prefix bits, and '.n' for the n-th of an overflow chain.
     """
-    carry = [c for c in carry if c not in ("n_bytes", "depth", "shard", "shard_bytes", "shard_rows")]
-    h, part = free_name(df.select(*carry), "h"), free_name(df.select(*carry), "part")
-    rows = scratch(df.select(*carry, hash_bits(F.col(key)).alias(h), F.coalesce(size, F.lit(0)).cast("long").alias("n_bytes"), F.spark_partition_id().alias(part)), "rows")
+    wanted = [c for c in carry if c not in ("n_bytes", "depth", "shard", "shard_bytes", "shard_rows")]
+    # Carried columns have names of their own until the end, so that none is in the way.
+    h, part, carry = "h", "part", [f"c_{k}" for k in range(len(wanted))]
+    rows = scratch(df.select(*[F.col(c).alias(own) for c, own in zip(wanted, carry, strict=True)], hash_bits(F.col(key)).alias(h), F.coalesce(size, F.lit(0)).cast("long").alias("n_bytes"), F.spark_partition_id().alias(part)), "rows")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     least, bits = 0, min(HASH_BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + SLACK_BITS)
     named, left = None, rows
@@ -81,7 +91,8 @@ def assign(df: DataFrame, key: str, size: Column, carry: list[str], limit: int =
         more = fitting.unionByName(chained)
         result = more if result is None else result.unionByName(more)
     sums = result.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
-    return result.join(sums, "shard").select(*out, "shard_bytes", "shard_rows")
+    named_again = [F.col(own).alias(c) for c, own in zip(wanted, carry, strict=True)]
+    return result.join(sums, "shard").select(*named_again, "n_bytes", "depth", "shard", "shard_bytes", "shard_rows")
 
 
 def _chain(rows: DataFrame, h: str, part: str, limit: int) -> DataFrame:

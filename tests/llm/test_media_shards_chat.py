@@ -121,3 +121,9 @@ def test_preference_pairs_match_sql(spark):
     names = [d[0] for d in con.description]
     assert sorted(map(str, (tuple(r[c] for c in names) for r in made.collect()))) == sorted(map(str, con.fetchall()))
     assert chat.preference_pairs(df.limit(0), F.col("conv_id"), F.lit(True)).collect() == []
+
+
+def test_carried_columns_may_have_any_name(spark):
+    df = spark.createDataFrame([(1, "a", "b", "c", 5), (2, "d", "e", "f", 6)], "h long, part string, cell string, at string, bytes int")
+    got = sharding.assign(df, "h", F.col("bytes"), ["h", "part", "cell", "at", "bytes"], 3)
+    assert sorted((r["h"], r["part"], r["cell"], r["at"], r["bytes"]) for r in got.collect()) == [(1, "a", "b", "c", 5), (2, "d", "e", "f", 6)]
