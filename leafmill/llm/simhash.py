@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_scratch, release, scratch, slices
+from .common import drop_scratch, free_name, release, scratch, slices
 
 SHINGLE = 4
 SEED = 42
@@ -277,6 +277,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """One row of each component stays: the one with the least (key, fingerprint)."""
     found = scratch(classes(docs, key, text), "classes")
     stay = found.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.col("fp").alias("f"))).alias("s"))
-    stay = stay.select(F.col("s.k").alias("k_"), F.col("s.f").alias("f_"))
-    met = with_fingerprint(docs, text).join(stay, F.col(key).eqNullSafe(F.col("k_")) & (F.col("fp") == F.col("f_")))
-    return met.dropDuplicates(["k_", "f_"]).select(*docs.columns)
+    k, f = free_name(docs, "k_"), free_name(docs, "f_")
+    stay = stay.select(F.col("s.k").alias(k), F.col("s.f").alias(f))
+    met = with_fingerprint(docs, text).join(stay, F.col(key).eqNullSafe(F.col(k)) & (F.col("fp") == F.col(f)))
+    return met.dropDuplicates([k, f]).select(*docs.columns)

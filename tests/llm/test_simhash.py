@@ -104,3 +104,9 @@ def test_one_of_each_class_stays(spark):
 def test_empty(spark):
     assert simhash.classes(empty(spark)).collect() == []
     assert simhash.keep_first(empty(spark)).collect() == []
+
+
+def test_clashing_columns(spark):
+    docs = documents(spark).selectExpr("*", "1 as k_", "2 as f_", "3 as component_id")
+    assert simhash.keep_first(docs).columns == docs.columns
+    assert simhash.keep_first(docs).count() == simhash.keep_first(documents(spark)).count()
