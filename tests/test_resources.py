@@ -12,7 +12,7 @@ from leafmill.functions import text
 from leafmill.operators import glyphs, media, menus, streams, verify
 from leafmill.sinks import packages as sink
 from leafmill.sources import packages as source
-from leafmill.sources import resources, sqlite
+from leafmill.sources import reports, resources, sqlite
 
 KEYS = ["package_id", "component", "entry_idx"]
 be = lambda v, n: v.to_bytes(n, "big")
@@ -201,3 +201,13 @@ def test_suffix_index_with_absent_chunks(spark):
     listed = files(spark, ("p", "C.IDX", sink.catalog("t", [("S.BIN", 0, 1, 48)])), ("p", "S.BIN", data[: len(data) // 2]))
     seen = resources.chunk_presence(source.components(source.catalogs(listed), listed)).first()
     assert (seen["chunks"], seen["present"], seen["complete"]) == (3, 2, False)
+
+
+def test_reports_and_assets(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text('{"a": 1, "b": "x"}\n\n[1]\n{bad\n5\n{"a": null}\n', encoding="utf-8")
+    assert sorted(map(str, (tuple(r) for r in reports.json_lines(spark, str(tmp_path / "r.jsonl"), "a long, b string").collect()))) == ["(1, 'x')", "(None, None)"]
+    listed = files(spark, ("p", "Icon_dark.PNG", b""), ("p", "icon_light.png", b""), ("p", "main.css", b""), ("p", "x.bin", b""), ("p", "menu.xml", b'<m><item title="A" href="x.html"/><i href=\'#b\' label="B">t</i><n title="no"/></m>'))
+    found = reports.assets(listed)
+    assert {(r["stem"], r["theme"], r["kind"]) for r in found.collect()} == {("icon", "dark", "image"), ("icon", "light", "image"), ("main", None, "template")}
+    assert {(r["kind"], r["n"], r["themed"]) for r in reports.asset_counts(found).collect()} == {("image", 2, 2), ("template", 1, 0)}
+    assert [(r["label"], r["href"]) for r in reports.menu_items(listed).orderBy("k").collect()] == [("A", "x.html"), ("B", "#b")]
