@@ -49,6 +49,8 @@ HOT_STRETCHES = 4096
 #: Bytes of texts parsed at once, and of stretches whose suffixes are ordered at once.
 PARSED_BYTES = 1 << 20
 ORDERED_BYTES = 1 << 20
+#: About what a stretch holds, and what a partition of stretches should.
+STRETCH_BYTES, PARTITION_BYTES = 600, 4 << 20
 #: In the suffix stage, a phrase ends where the hash of PHRASE_GRAM bytes is 0 modulo PHRASE_MOD.
 PHRASE_GRAM, PHRASE_MOD = 6, 24
 KEYS = ["k1", "k2"]
@@ -382,7 +384,9 @@ def removed_spans(docs: DataFrame, text: str, kernel_fields: list[T.StructField]
     ranges = F.collect_list(F.struct("low", "high", "anchor", "wanted")).alias("ranges")
     cool, hot = (sized.filter(c).groupBy(*KEYS).agg(ranges) for c in (F.col("n") <= HOT_STRETCHES, F.col("n") > HOT_STRETCHES))
     stretches = _sliced(texts.join(cool, KEYS), _stretch_rows, "anchor long, k1 long, k2 long, low long, wanted boolean, body binary")
-    found = stretches.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_flag_runs, "k1 long, k2 long, low long, high long")
+    # Ordering suffixes costs far more than moving them: partitions are of a few megabytes.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sized.count() * STRETCH_BYTES // PARTITION_BYTES))
+    found = stretches.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_flag_runs, "k1 long, k2 long, low long, high long")
     windows = _sliced(texts.join(hot, KEYS), _window_rows, "e1 long, e2 long, k1 long, k2 long, low long, wanted boolean")
     common = windows.groupBy("e1", "e2").agg(F.count("*").alias("n")).filter("n > 1").select("e1", "e2")
     hot_found = windows.filter("wanted").join(common, ["e1", "e2"], "left_semi").select(*KEYS, "low", F.col("low").alias("high"))
