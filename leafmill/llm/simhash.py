@@ -251,14 +251,16 @@ def stars(edges: DataFrame, name: str = "stars") -> DataFrame:
 
 
 def components(marked: DataFrame, key: str) -> DataFrame:
-    """(fp, first_id, component): each distinct fingerprint with its least key and the least key that links reach."""
+    """(fp, first_id, component, root): each distinct fingerprint with its least key, the least key that links reach, and
+    the least fingerprint that they reach. Only root tells classes apart: keys may be null or shared by classes."""
     reps = marked.groupBy("fp").agg(F.min(key).alias("first_id"))
     pairs = stars(links(reps.select("fp")))
     linked = pairs.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
     known = scratch(linked.join(reps, "fp"), "known")
     lowest = known.groupBy("root").agg(F.min("first_id").alias("lowest"))
-    labels = known.join(lowest, "root").select("fp", "lowest")
-    return reps.join(labels, "fp", "left").select("fp", "first_id", F.coalesce("lowest", "first_id").alias("component"))
+    labels = known.join(lowest, "root").select("fp", "lowest", "root")
+    joined = reps.join(labels, "fp", "left")
+    return joined.select("fp", "first_id", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("lowest")).alias("component"), F.coalesce("root", "fp").alias("root"))
 
 
 def fp_hex(fp: Column) -> Column:
@@ -275,8 +277,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component stays: the one with the least (key, fingerprint)."""
-    found = scratch(classes(docs, key, text), "classes")
-    stay = found.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.col("fp").alias("f"))).alias("s"))
+    marked = scratch(with_fingerprint(docs.select(key, text), text, keep_text=False), "fingerprints")
+    found = scratch(components(marked, key).select("fp", "root"), "components")
+    stay = marked.join(found, "fp").groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.col("fp").alias("f"))).alias("s"))
     k, f = free_name(docs, "k_"), free_name(docs, "f_")
     stay = stay.select(F.col("s.k").alias(k), F.col("s.f").alias(f))
     met = with_fingerprint(docs, text).join(stay, F.col(key).eqNullSafe(F.col(k)) & (F.col("fp") == F.col(f)))

@@ -101,6 +101,14 @@ def test_one_of_each_class_stays(spark):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_classes_without_ids_or_with_the_same_id_stay_apart(spark):
+    draw = random.Random(6)
+    texts = [" ".join(str(draw.random()) for _ in range(30)) for _ in range(12)]
+    rows = [(None if k % 3 == 0 else 1 if k % 3 == 1 else k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + rows, "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.keep_first(df).collect()) == sorted(texts)
+
+
 def test_empty(spark):
     assert simhash.classes(empty(spark)).collect() == []
     assert simhash.keep_first(empty(spark)).collect() == []
