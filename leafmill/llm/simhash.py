@@ -46,7 +46,7 @@ FRONTIER = 1 << 20
 BLOCK = 1 << 17
 
 
-def fingerprints(texts: list[bytes]) -> np.ndarray:
+def fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     """The uint64 fingerprint of each text."""
     ones = np.zeros((len(texts), 64), np.int64)
     totals = np.zeros(len(texts), np.int64)
@@ -66,10 +66,10 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
         words = text.lower().split()
         if not words:
             continue
-        if len(words) < SHINGLE:
+        if len(words) < shingle:
             shingles = [b" ".join(words)]
         else:
-            shingles = list(map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False)))
+            shingles = list(map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)))
         totals[d] = len(shingles)
         for at in range(0, len(shingles), BLOCK):
             part = shingles[at : at + BLOCK]
@@ -81,7 +81,7 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     return (2 * ones > totals[:, None]) @ (np.uint64(1) << np.arange(64, dtype=np.uint64))
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
+def with_fingerprint(docs: DataFrame, text: str = "text", keep_text: bool = True, shingle: int = SHINGLE) -> DataFrame:
     """docs with `fp`, the fingerprint as a long, in one narrow pass."""
     docs = docs.drop("fp")
     kept = [f for f in docs.schema.fields if keep_text or f.name != text]
@@ -90,7 +90,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep_text: bool = True
     def run(batches):
         for batch in batches:
             for part in slices(batch, text):
-                made = fingerprints([x or b"" for x in part.column(text).cast(pa.binary()).to_pylist()])
+                made = fingerprints([x or b"" for x in part.column(text).cast(pa.binary()).to_pylist()], shingle)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(made.view(np.int64))], names=names + ["fp"])
         release()
 
