@@ -31,14 +31,16 @@ carried unless they have a result's name.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, scratch, slices, text_as_bytes
+from .common import drop_scratch, free_name, release, scratch, slices, text_as_bytes
 
 LENGTH = 400
 REACH = 32
@@ -434,3 +436,68 @@ def dedup(docs: DataFrame, text: str = "text", fields: tuple[str, ...] = ("n_rem
     met = rows.join(found, KEYS, "left")
     short = F.col("n_bytes") < LENGTH
     return met.select(*[F.col(f"c_{k}").alias(c) for k, c in enumerate(carried)], "n_bytes", *[F.when(short, whole[f]).otherwise(F.col(f)).alias(f) for f in fields])
+
+
+#: Bytes that stand for a word, so that a window of LENGTH bytes is one of LENGTH // CODE = 50 words.
+CODE = 8
+
+
+def _coded(texts: list[bytes]) -> list[bytes]:
+    """Each text's words as their 64-bit hashes, end to end; white space doesn't show."""
+    return [np.fromiter(map(xxhash.xxh64_intdigest, t.split()), "<u8").tobytes() for t in texts]
+
+
+def _word_spans(text: bytes, coded: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Bytes from the first to the last word of each span of codes."""
+    words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", text)]
+    whole = [(-(-a // CODE), b // CODE) for a, b in coded]
+    return [(words[a][0], words[b - 1][1]) for a, b in whole if a < b]
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans as maximal runs."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def dedup_passages(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with their text less each string of LENGTH bytes and each run of LENGTH // CODE words that also starts elsewhere.
+
+    Runs of words are found as strings are, in texts of which each word is a code of
+    CODE bytes: a window of LENGTH bytes is then one of 50 words, however short they
+    are and whatever white space lies between them.
+    """
+    body = text_as_bytes(F.col(text))
+    spans = [T.StructField("spans", SPANS)]
+    listed = lambda t, s: [[{"start": a, "end": b} for a, b in s]]
+    pairs = lambda x: [(s["start"], s["end"]) for s in x or ()]
+    # No row without a repeat is kept of either.
+    strings = scratch(removed_spans(docs, text, spans, listed).filter("size(spans) > 0"), "string-spans")
+    texts = docs.select(*text_key(body), body.alias("text")).groupBy(*KEYS).agg(F.max("text").alias("text"))
+    coded = scratch(_sliced(texts, lambda part: {**{k: part.column(k) for k in KEYS}, "codes": pa.array(_coded(_binary(part, "text")), pa.binary())}, "k1 long, k2 long, codes binary").filter(F.octet_length("codes") >= LENGTH), "codes")
+    # Exact copies of a text are covered by strings if they have LENGTH bytes, and else as copies of its codes.
+    copies = scratch(docs.select(*text_key(body)).groupBy(*KEYS).agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
+    keyed = coded.select(*KEYS, *[c.alias(k) for c, k in zip(text_key(F.col("codes")), ("c1", "c2"), strict=True)])
+    runs = removed_spans(coded, "codes", spans, listed).filter("size(spans) > 0").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "spans")
+    by_text = keyed.join(runs, ["c1", "c2"]).select(*KEYS, F.col("spans").alias("runs"))
+    twice = keyed.join(copies, KEYS, "left_semi").select(*KEYS, F.lit(True).alias("copied"))
+    found = scratch(strings.join(by_text, KEYS, "full").join(twice, KEYS, "full"), "spans")
+    drop_scratch(coded)
+
+    def cut(part: pa.RecordBatch) -> dict[str, pa.Array]:
+        made = []
+        for t, s, r, copied in zip(_binary(part, "text"), part.column("spans").to_pylist(), part.column("runs").to_pylist(), part.column("copied").to_pylist(), strict=True):
+            both = [(0, len(t))] if copied else _union(pairs(s) + _word_spans(t, pairs(r)))
+            made.append(kept_bytes(t, both).decode("utf-8", "ignore"))
+        return {**{k: part.column(k) for k in KEYS}, "kept_": pa.array(made, pa.string())}
+
+    changed = _sliced(texts.join(found, KEYS), cut, "k1 long, k2 long, kept_ string")
+    own = [free_name(docs, k) for k in ("k1_", "k2_", "kept_")]
+    keys = [c.alias(k) for c, k in zip(text_key(body), own, strict=False)]
+    met = docs.select("*", *keys).join(changed.toDF(*own), own[:2], "left")
+    return met.select(*[F.coalesce(F.col(own[2]), body.cast("string")).alias(c) if c == text else c for c in docs.columns])
