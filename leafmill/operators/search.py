@@ -13,11 +13,12 @@ def _matches(phase: str, key: Column, query: Column) -> Column:
     return {"exact": key == query, "forward": F.startswith(key, query), "backward": F.endswith(key, query)}[phase]
 
 
-def search(rows: DataFrame, key: str, query: str, phases: list[str], identity: list[str], limit: int, normalized: Column | None = None, query_key: str | None = None) -> DataFrame:
+def search(rows: DataFrame, key: str, query: str, phases: list[str], identity: list[str], limit: int | None, normalized: Column | None = None, query_key: str | None = None) -> DataFrame:
     """Hits of one term: phase by phase, each row (by identity) once, at its first phase; hit_id runs from 1.
 
     A row's phase is decided in the scan and the limit keeps at most `limit` rows of
-    each task, so nothing but the hits is sorted. A term whose normalized form is
+    each task, so nothing but the hits is sorted. Without a limit all hits come, neither
+    sorted nor numbered (no hit_id), so no task holds them all. A term whose normalized form is
     empty, but which isn't blank itself, matches every row forward.
     """
     norm = normalized if normalized is not None else F.col(key)
@@ -29,10 +30,13 @@ def search(rows: DataFrame, key: str, query: str, phases: list[str], identity: l
         phase = F.when(_matches(p, norm, wanted), PHASES.index(p)).otherwise(phase)
     hits = rows.withColumn("phase_", phase).withColumn("norm_", norm).filter("phase_ is not null")
     first = hits.groupBy(*identity).agg(F.min(F.struct("phase_", "norm_", F.col(key).alias("matched"))).alias("m_"))
+    named = F.element_at(F.array(*[F.lit(p) for p in PHASES]), F.col("m_.phase_") + 1)
+    fields = [named.alias("profile"), F.col("m_.matched").alias("matched_key"), *identity]
+    if limit is None:
+        return first.select(*fields)
     order = [F.col("m_.phase_"), F.col("m_.norm_"), *map(F.col, identity)]
     top = first.orderBy(*order).limit(limit)
-    named = F.element_at(F.array(*[F.lit(p) for p in PHASES]), F.col("m_.phase_") + 1)
-    return top.select(F.row_number().over(Window.orderBy(*order)).alias("hit_id"), named.alias("profile"), F.col("m_.matched").alias("matched_key"), *identity)  # over `limit` rows
+    return top.select(F.row_number().over(Window.orderBy(*order)).alias("hit_id"), *fields)  # over `limit` rows
 
 
 def search_many(rows: DataFrame, key: str, terms: DataFrame, term: str, identity: list[str], limit: int, least: int) -> DataFrame:

@@ -63,7 +63,7 @@ def search_packages(t):
     expanded = _chunks(_files(t))
     rows = streams.index_rows(streams.index_leaves(source.pages(expanded.filter(F.col("ctype").isin(source.INDEX_TYPES)))))
     key = F.upper(F.regexp_replace("key", r"\s", ""))
-    hits = search.search(rows.select("package_id", "key", "body.block", "body.offset"), "key", "red plate", ["forward"], ["package_id", "block", "offset"], 1_000_000, key, "REDPLATE")
+    hits = search.search(rows.select("package_id", "key", "body.block", "body.offset"), "key", "red plate", ["forward"], ["package_id", "block", "offset"], None, key, "REDPLATE")
     return hits.groupBy("package_id").agg(F.count("*").alias("n"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import bytes as binary
 from leafmill.functions import text
 from leafmill.operators import aggregates, classify, diff, joins, ranks, search, windows
+from leafmill.plans import package_queries
 from leafmill.sinks import reports
 
 
@@ -29,6 +30,23 @@ def test_empty_normalized_term_matches_forward(spark):
     assert search.search(df, "key", "  ", search.PHASES, ["id"], 10).count() == 0
 
 
+def test_search_without_a_limit_takes_all_hits_and_sorts_none(spark):
+    df = spark.range(1_000_500).selectExpr("concat('red', id) as key", "id")
+    hits = search.search(df, "key", "red", ["forward"], ["id"], None)
+    assert hits.count() == 1_000_500
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Sort", "Limit", "Window"))
+
+
+def test_search_packages_counts_all_hits(spark, monkeypatch):
+    asked = []
+    real = search.search
+    monkeypatch.setattr(search, "search", lambda *a, **k: asked.append(a[5]) or real(*a, **k))
+    part = spark.createDataFrame([(k, "B#1", f"red plate {k}", "T", k) for k in range(3)], "p_partkey long, p_brand string, p_name string, p_type string, p_size long")
+    assert rows(package_queries.search_packages(lambda name: part)) == [("B#1", 3)]
+    assert asked == [None]
+
+
 def test_search_phases_limit_and_identity(spark):
     df = spark.createDataFrame([("ring", 1), ("ring two", 2), ("a ring", 3), ("a ring", 2)], "key string, id int")
     assert rows(search.search(df, "key", "ring", search.PHASES, ["id"], 10), "hit_id", "profile", "id") == [(1, "exact", 1), (2, "forward", 2), (3, "backward", 3)]
