@@ -101,6 +101,13 @@ class Field:
         self.lex = np.zeros((n, n))
         self.step = np.zeros((n, n))
 
+    @classmethod
+    def of(cls, parts: dict) -> Field:
+        """The field with these attributes."""
+        field = cls.__new__(cls)
+        field.__dict__.update(parts)
+        return field
+
     def lexical(self, words: list[bytes]) -> np.ndarray:
         none = np.zeros(len(self.langs))
         return np.array([self.lexicon.get(w, none) for w in words]).reshape(len(words), len(self.langs))
@@ -359,10 +366,11 @@ def with_language(docs: DataFrame, field: Field | None, text: str = "text", keep
     added = ["lang_pred", "score"] + ["lang_runs"] * with_runs
     kept = [f for f in docs.schema.fields if f.name not in added and (keep_text or f.name != text)]
     names = [f.name for f in kept]
-    held = docs.sparkSession.sparkContext.broadcast(field)  # of fixed size: hashed features and at most LEXICON words
+    # Of fixed size: hashed features and at most LEXICON words. Plain data, as broadcasts are pickled by reference to classes.
+    held = docs.sparkSession.sparkContext.broadcast(dict(vars(field)) if field else None)
 
     def run(batches):
-        labeller = Labeller(held.value) if held.value else None
+        labeller = Labeller(Field.of(held.value)) if held.value else None
         for batch in batches:
             for part in slices(batch, text):
                 if labeller:

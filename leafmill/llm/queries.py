@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, langid, media, packing, quality, sharding, simhash, substrings, urls
-from .common import scratch, table
+from leafmill.staging import scratch
+
+from .common import table
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

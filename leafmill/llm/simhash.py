@@ -31,7 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_scratch, free_name, release, scratch, slices
+from leafmill.staging import drop_scratch, scratch
+
+from .common import free_name, release, slices
 
 SHINGLE = 4
 SEED = 42
