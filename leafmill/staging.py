@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set (local tests)."""
+    """The folder in spark.checkpoint.dir; one of our own only where none is set and the master is local.
+
+    On a cluster a folder of the driver's machine would be no shared one, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafmill-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
