@@ -1,22 +1,31 @@
 """Bulk-synchronous best-fit packing of tokenised documents into sequences of CAPACITY tokens.
 
-A sequence with g free places is a gap of size g.  Documents and gaps of equal size
-can stand for each other, so the range-sorted state of a round is the number of
-documents and of gaps of each size, which CAPACITY bounds for any corpus: one
-groupBy makes it, and the rounds sweep over it.  The round of a document size
-matches its documents to their successors, the smallest gaps that hold them; where
-several ask for the same gap, ranks decide; the gaps shrink, what found none opens
-new sequences, and the next size follows.  The rounds yield blocks, each a range
-of ranks of one size that goes to a range of sequences, and every document finds
-its block by its rank, in joins.
-
-The rank of a document among those of its length is its place in its input
-partition plus the documents of that length in the partitions before: a range sort
-by counting, which no frequent length can crowd into a task.
-
-Results in odd cases: a null or empty text is the end token alone; repeated rows
-are packed each; nothing is dropped; an empty table gives an empty table; extra
-columns are not carried.
+Documents and gaps (the free places of open sequences) are kept range-sorted by size and
+run-length encoded: a row is a run of documents of one length with neighbouring ranks,
+or of gaps of one size in neighbouring sequences.  A round is one shuffle and one sweep:
+
+1. Documents and gaps of a range of sizes meet in a task, RANGES ranges side by side.
+2. The sweep matches each run of documents, the longest first, to its successor, the
+   smallest gap of the range that holds it.  Where several ask for the same gaps, the
+   order of size and rank decides who gets them.
+3. The gaps shrink and move to the range of their new size; documents that found none
+   ask in the range above in the next round.  Longer documents so reach every range
+   before shorter ones do.
+
+RANGES rounds make a pass, in which every document may ask in every range; they are one
+Spark job.  Between passes the driver looks at one row of sums: it ends when all is
+placed, repeats while a pass placed anything, and else opens as many sequences as what
+is left needs at least, for the longest documents of all.  The sweeps yield blocks, each
+a range of ranks of one length that goes to a range of sequences; a document finds its
+block by its length and rank, in a join whose keys hold SPAN ranks at most.
+
+The rank of a document among those of its length is its place in its input partition
+plus the documents of that length in the partitions before: a range sort by counting,
+which no frequent length can crowd into a task.
+
+Results in odd cases: a null or empty text is the end token alone; repeated rows are
+packed each; nothing is dropped; an empty table gives an empty table; extra columns are
+not carried.
 """
 
 from __future__ import annotations
@@ -24,6 +33,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +56,14 @@ TOGETHER = 500
 CALL = 40
 #: What the vocabulary adds to the last token of a word.
 WORD_END = "</w>"
+#: Ranges of sizes that are swept side by side, and rounds of a pass.
+RANGES = 8
+#: Ranks of one length that a key of the final join holds.
+SPAN = 1 << 20
+DOCS, GAPS, BLOCKS = 0, 1, 2
+#: Where runs wait that meet nothing in this pass.
+ASIDE = -1
+STATE = "kind int, at int, size long, first long, n long, seq long, each long, offset long"
 
 
 def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -174,63 +192,112 @@ def pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
     return docs.mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, part int, place long")
 
 
-def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Blocks (length, first rank, end rank, first sequence, documents of a sequence, offset) that place every document.
-
-    The rounds go from the largest length to the smallest; `gaps` are the sorted sizes
-    of open gaps and `open_` the runs of sequences (first, number) of each size.
-    """
-    blocks: list[tuple[int, int, int, int, int, int]] = []
-    gaps: list[int] = []
-    open_: dict[int, list[tuple[int, int]]] = {}
-    sequences = 0
-
-    def shrink(size: int, first: int, n: int) -> None:
-        if size and n:
+def sweep(rows: list[tuple], capacity: int = CAPACITY) -> list[tuple]:
+    """One round over runs (STATE): what the runs become; the documents and gaps of a range come together."""
+    width = -(-capacity // RANGES)
+    out: list[tuple] = []
+    for at, group in groupby(sorted(rows, key=lambda r: (r[1], r)), key=lambda r: r[1]):
+        own = list(group)
+        if at == ASIDE:
+            out += own
+            continue
+        sizes: list[int] = []
+        open_: dict[int, list[tuple[int, int]]] = {}
+
+        def shrink(size: int, seq: int, n: int, at: int = at, sizes: list[int] = sizes, open_: dict = open_) -> None:
+            """Gaps of this size: kept if they belong to the range, else on their way to theirs."""
+            if size <= 0 or n <= 0:
+                return
+            if (size - 1) // width != at:
+                out.append((GAPS, (size - 1) // width, size, 0, n, seq, 0, 0))
+                return
             if size not in open_:
-                insort(gaps, size)
+                insort(sizes, size)
                 open_[size] = []
-            open_[size].append((first, n))
-
-    for length in sorted(histogram, reverse=True):
-        rank, total = 0, histogram[length]
-        while rank < total:
-            k = bisect_left(gaps, length)
-            if k == len(gaps):
-                size, first, n = capacity, sequences, -(-(total - rank) // (capacity // length))
-                sequences += n
-            else:
-                size = gaps[k]
-                first, n = open_[size].pop()
+            insort(open_[size], (seq, n))
+
+        for r in own:
+            if r[0] == GAPS:
+                shrink(r[2], r[5], r[4])
+        for _, _, length, low, n, *_ in sorted((r for r in own if r[0] == DOCS), key=lambda r: (-r[2], r[3])):
+            while n and (k := bisect_left(sizes, length)) < len(sizes):
+                size = sizes[k]
+                seq, many = open_[size].pop(0)
                 if not open_[size]:
-                    del open_[size], gaps[k]
-            each = size // length
-            used = min(n, -(-(total - rank) // each))
-            placed = min(total - rank, used * each)
-            blocks.append((length, rank, rank + placed, first, each, capacity - size))
-            whole, rest = divmod(placed, each)
-            shrink(size - each * length, first, whole)
-            if rest:
-                shrink(size - rest * length, first + whole, 1)
-            shrink(size, first + used, n - used)
-            rank += placed
-    return blocks
+                    del open_[size], sizes[k]
+                each = size // length
+                used = min(many, -(-n // each))
+                placed = min(n, used * each)
+                out.append((BLOCKS, ASIDE, length, low, placed, seq, each, capacity - size))
+                whole, rest = divmod(placed, each)
+                shrink(size - each * length, seq, whole)
+                shrink(size - rest * length, seq + whole, 1 if rest else 0)
+                shrink(size, seq + used, many - used)
+                low, n = low + placed, n - placed
+            if n:
+                out.append((DOCS, at + 1 if at + 1 < RANGES else ASIDE, length, low, n, 0, 0, 0))
+        out += [(GAPS, at, size, 0, n, seq, 0, 0) for size in sizes for seq, n in open_[size]]
+    return out
+
+
+def _round(state: DataFrame, capacity: int) -> DataFrame:
+    """One shuffle of all runs to the range where they meet, and its sweep."""
+    names = [f.name for f in state.schema.fields]
+
+    def run(batches):
+        # The runs of a range: bounded by its sizes and by how often gaps were split, not by documents.
+        rows = [r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(len(names))), strict=True)]
+        made = sweep(rows, capacity)
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], pa.int32() if k < 2 else pa.int64()) for k in range(len(names))], names=names)
+
+    return state.repartition("at").mapInArrow(run, STATE)
+
+
+def _opened(state: DataFrame, n: int, first: int, capacity: int) -> DataFrame:
+    """state with new sequences from `first` on for its n longest documents, which open one each."""
+    before = Window.orderBy(F.desc("size"), "first").rowsBetween(Window.unboundedPreceding, -1)  # over the runs left, a few for each length
+    docs = state.filter(F.col("kind") == DOCS).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    taken = F.least(F.col("n"), F.greatest(F.lit(0), F.lit(n) - F.col("before")))
+    row = lambda kind, size, low, many, seq, each: F.struct(F.lit(kind).alias("kind"), F.lit(ASIDE).alias("at"), size.alias("size"), low.alias("first"), many.alias("n"), seq.alias("seq"), F.lit(each).cast("long").alias("each"), F.lit(0).cast("long").alias("offset"))
+    zero, seq = F.lit(0).cast("long"), F.col("before") + first
+    rows = F.array(row(BLOCKS, F.col("size"), F.col("first"), F.col("taken"), seq, 1), row(GAPS, capacity - F.col("size"), zero, F.col("taken"), seq, 0), row(DOCS, F.col("size"), F.col("first") + F.col("taken"), F.col("n") - F.col("taken"), zero, 0))
+    made = docs.withColumn("taken", taken).select(F.explode(F.filter(rows, lambda r: (r["n"] > 0) & (r["size"] > 0))).alias("r")).select("r.*")
+    return state.filter(F.col("kind") != DOCS).unionByName(made)
+
+
+def best_fit(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Blocks (length, low, n, seq, each, offset) that place all documents of (length, n), ranks running from 0 in each length."""
+    zero = F.lit(0).cast("long")
+    state = scratch(lengths.select(F.lit(DOCS).alias("kind"), F.lit(ASIDE).alias("at"), F.col("length").alias("size"), zero.alias("first"), F.col("n"), zero.alias("seq"), zero.alias("each"), zero.alias("offset")), "runs")
+    width, sequences, before = -(-capacity // RANGES), 0, None
+    while True:
+        docs = F.col("kind") == DOCS
+        left, tokens, large = state.agg(F.sum(F.when(docs, F.col("n"))), F.sum(F.when(docs, F.col("n") * F.col("size"))), F.sum(F.when(docs & (F.col("size") * 2 > capacity), F.col("n")))).first()
+        if not left:
+            return state.filter(F.col("kind") == BLOCKS).select(F.col("size").alias("length"), F.col("first").alias("low"), "n", "seq", "each", "offset")
+        if before in (None, left):  # nothing was placed: no gap holds what is left
+            more = min(left, max(large or 0, -(-tokens // capacity)))
+            state, sequences = _opened(state, more, sequences, capacity), sequences + more
+        before = left
+        # Blocks are done with: they stay aside and out of the rounds.
+        live = state.filter(F.col("kind") != BLOCKS).withColumn("at", F.floor((F.col("size") - 1) / width).cast("int"))
+        for _ in range(RANGES):
+            live = _round(live, capacity)
+        state = scratch(state.filter(F.col("kind") == BLOCKS).unionByName(live), "runs")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece of a document with its sequence_id and its offset there."""
-    spark = docs.sparkSession
     cut = scratch(pieces(docs, tokenizer_path, key, text, capacity), "pieces")
-    counts = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
+    counts = scratch(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    blocks = spark.createDataFrame(best_fit(histogram, capacity), "length long, low long, high long, first long, each long, at long")
-    ranked = cut.join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("place"))
-    # Blocks are a few for each length, whatever the corpus: each empties a run of gaps or ends a length.
-    met = ranked.join(F.broadcast(blocks), (ranked["length"] == blocks["length"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    blocks = best_fit(counts.groupBy("length").agg(F.sum("n").alias("n")), capacity)
+    spread = blocks.select("length", "low", "n", "seq", "each", F.col("offset").alias("at"), F.explode(F.sequence(F.floor(F.col("low") / SPAN), F.floor((F.col("low") + F.col("n") - 1) / SPAN))).alias("span"))
+    ranked = cut.join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("place")).withColumn("span", F.floor(F.col("rank") / SPAN))
     turn = F.col("rank") - F.col("low")
+    met = ranked.join(spread, ["length", "span"]).filter((turn >= 0) & (turn < F.col("n")))
     return met.select(
-        key, "piece", "start", ranked["length"], "ids_crc32",
-        (F.col("first") + F.floor(turn / F.col("each"))).cast("long").alias("sequence_id"), (F.col("at") + (turn % F.col("each")) * ranked["length"]).cast("long").alias("offset"),
+        key, "piece", "start", "length", "ids_crc32", (F.col("seq") + F.floor(turn / F.col("each"))).cast("long").alias("sequence_id"), (F.col("at") + (turn % F.col("each")) * F.col("length")).cast("long").alias("offset"),
     )

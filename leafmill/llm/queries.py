@@ -27,9 +27,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the bytes of repeated 400-byte strings."""
+    """Every document without the bytes of repeated 400-byte strings; `text` is what remains."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substrings.dedup(docs, fields=("n_removed", "n_spans", "kept_sha256"))
+    return substrings.dedup(docs, fields=("n_removed", "n_spans", "kept_sha256", "kept_text")).withColumnRenamed("kept_text", "text")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.staging import drop_scratch, scratch
+from leafmill.staging import scratch
 
 from .common import free_name, release, slices, text_as_bytes
 
@@ -103,7 +103,8 @@ def _sliding_min(a: np.ndarray, n: int) -> np.ndarray:
 class Parsed:
     """Texts laid end to end, with triggers, first-anchor stretches and windows without an anchor."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], length: int = LENGTH):
+        self.length = length
         self.lens = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(self.lens)
         self.starts = self.ends - self.lens
@@ -113,8 +114,8 @@ class Parsed:
         #: Windows [low, high] with the trigger as their first.
         before = np.concatenate([[-(1 << 40)], self.t[:-1]])
         before[np.diff(self.doc, prepend=-1) != 0] = -(1 << 40)
-        self.low = np.maximum.reduce([before - REACH + 1, self.t + AHEAD - LENGTH, self.starts[self.doc]])
-        self.high = np.minimum(self.t - REACH, self.ends[self.doc] - LENGTH)
+        self.low = np.maximum.reduce([before - REACH + 1, self.t + AHEAD - length, self.starts[self.doc]])
+        self.high = np.minimum(self.t - REACH, self.ends[self.doc] - length)
 
     def _triggers(self) -> tuple[np.ndarray, np.ndarray]:
         if len(self.flat) < 2 * REACH + GRAM:
@@ -134,9 +135,9 @@ class Parsed:
     def orphans(self) -> tuple[np.ndarray, np.ndarray]:
         """(window, text) of windows that no stretch has."""
         edges = np.zeros(len(self.flat) + 1, np.int32)
-        own = self.lens >= LENGTH
+        own = self.lens >= self.length
         np.add.at(edges, self.starts[own], 1)
-        np.add.at(edges, self.ends[own] - LENGTH + 1, -1)
+        np.add.at(edges, self.ends[own] - self.length + 1, -1)
         some = self.low <= self.high
         np.add.at(edges, self.low[some], -1)
         np.add.at(edges, self.high[some] + 1, 1)
@@ -152,30 +153,30 @@ def _take(batch: pa.RecordBatch, doc: np.ndarray) -> dict[str, pa.Array]:
     return {k: batch.column(k).take(pa.array(doc)) for k in KEYS}
 
 
-def _sliced(df: DataFrame, kernel, schema: str) -> DataFrame:
+def _sliced(df: DataFrame, kernel, schema: str, *options) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", PARSED_BYTES):
-                yield pa.RecordBatch.from_pydict(kernel(part))
+                yield pa.RecordBatch.from_pydict(kernel(part, *options))
         _POWERS.clear()
         release()
 
     return df.mapInArrow(run, schema)
 
 
-def _anchor_rows(part: pa.RecordBatch) -> dict[str, pa.Array]:
+def _anchor_rows(part: pa.RecordBatch, length: int) -> dict[str, pa.Array]:
     """Anchors (place: the trigger) and windows without one (place: -1 - window)."""
-    p = Parsed(_binary(part, "text"))
+    p = Parsed(_binary(part, "text"), length)
     orphan, doc = p.orphans()
     docs = np.concatenate([p.doc, doc])
-    hashes = np.concatenate([p.anchors(), p.rolling.of(orphan, orphan + LENGTH)])
+    hashes = np.concatenate([p.anchors(), p.rolling.of(orphan, orphan + length)])
     place = np.concatenate([p.t - p.starts[p.doc], -1 - (orphan - p.starts[doc])])
     return {"h": pa.array(hashes), **_take(part, docs), "place": pa.array(place)}
 
 
-def _phrase_rows(part: pa.RecordBatch) -> dict[str, pa.Array]:
+def _phrase_rows(part: pa.RecordBatch, length: int) -> dict[str, pa.Array]:
     """The phrase of each stretch of windows whose anchors all are repeated: its hashes, windows low .. high and first anchor."""
-    p = Parsed(_binary(part, "text"))
+    p = Parsed(_binary(part, "text"), length)
     marks = part.column("places")
     owner = np.repeat(np.arange(part.num_rows), marks.value_lengths().to_numpy(zero_copy_only=False))
     place = marks.flatten().to_numpy(zero_copy_only=False)
@@ -185,7 +186,7 @@ def _phrase_rows(part: pa.RecordBatch) -> dict[str, pa.Array]:
     nearest = np.minimum.accumulate(np.where(repeated, 1 << 40, p.t)[::-1])[::-1]
     following[: len(p.t)] = nearest
     same = p.doc[np.minimum(np.searchsorted(p.t, following[1:]), max(len(p.t) - 1, 0))] == p.doc if len(p.t) else np.zeros(0, bool)
-    limit = np.where(same & (following[1:] < 1 << 40), following[1:] + AHEAD - LENGTH - 1, 1 << 40)
+    limit = np.where(same & (following[1:] < 1 << 40), following[1:] + AHEAD - length - 1, 1 << 40)
     high = np.minimum(p.high, limit)
     own = repeated & (p.low <= high)
     orphan = (-1 - place + p.starts[owner])[place < 0]
@@ -193,7 +194,7 @@ def _phrase_rows(part: pa.RecordBatch) -> dict[str, pa.Array]:
     docs = np.concatenate([p.doc[own], owner[place < 0]])
     anchor = pa.array(np.concatenate([p.anchors()[own], np.zeros(len(orphan), np.int64)]), mask=np.concatenate([np.zeros(own.sum(), bool), np.ones(len(orphan), bool)]))
     return {
-        "e1": pa.array(p.rolling.of(low, high + LENGTH)), "e2": pa.array(Rolling(p.flat, 1).of(low, high + LENGTH)),
+        "e1": pa.array(p.rolling.of(low, high + length)), "e2": pa.array(Rolling(p.flat, 1).of(low, high + length)),
         **_take(part, docs), "low": pa.array(low - p.starts[docs]), "high": pa.array(high - p.starts[docs]), "anchor": anchor,
     }
 
@@ -206,21 +207,21 @@ def _listed(part: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return owner, {f.name: flat.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(flat.type)}
 
 
-def _stretch_rows(part: pa.RecordBatch) -> dict[str, pa.Array]:
+def _stretch_rows(part: pa.RecordBatch, length: int) -> dict[str, pa.Array]:
     texts = _binary(part, "text")
     owner, r = _listed(part)
-    body = [texts[d][a : b + LENGTH] for d, a, b in zip(owner.tolist(), r["low"].tolist(), r["high"].tolist(), strict=True)]
+    body = [texts[d][a : b + length] for d, a, b in zip(owner.tolist(), r["low"].tolist(), r["high"].tolist(), strict=True)]
     return {"anchor": pa.array(r["anchor"]), **_take(part, owner), "low": pa.array(r["low"]), "wanted": pa.array(r["wanted"]), "body": pa.array(body, pa.binary())}
 
 
-def _window_rows(part: pa.RecordBatch) -> dict[str, pa.Array]:
-    p = Parsed(_binary(part, "text"))
+def _window_rows(part: pa.RecordBatch, length: int) -> dict[str, pa.Array]:
+    p = Parsed(_binary(part, "text"), length)
     owner, r = _listed(part)
     many = r["high"] - r["low"] + 1
     at = np.repeat(r["low"] - np.cumsum(many) + many, many) + np.arange(many.sum())
     docs = np.repeat(owner, many)
     where = at + p.starts[docs]
-    return {"e1": pa.array(p.rolling.of(where, where + LENGTH)), "e2": pa.array(Rolling(p.flat, 1).of(where, where + LENGTH)), **_take(part, docs), "low": pa.array(at), "wanted": pa.array(np.repeat(r["wanted"], many))}
+    return {"e1": pa.array(p.rolling.of(where, where + length)), "e2": pa.array(Rolling(p.flat, 1).of(where, where + length)), **_take(part, docs), "low": pa.array(at), "wanted": pa.array(np.repeat(r["wanted"], many))}
 
 
 def _ranks(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, int]:
@@ -290,9 +291,9 @@ def corpus_order(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return raw, starts, order
 
 
-def repeated_windows(bodies: list[bytes]) -> list[np.ndarray]:
-    """For each body, whether each of its LENGTH-byte windows also starts elsewhere in the bodies."""
-    many = np.array([max(0, len(b) - LENGTH + 1) for b in bodies], np.int64)
+def repeated_windows(bodies: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """For each body, whether each of its windows of `length` bytes also starts elsewhere in the bodies."""
+    many = np.array([max(0, len(b) - length + 1) for b in bodies], np.int64)
     if not many.any():
         return [np.zeros(0, bool) for _ in bodies]
     raw, starts, order = corpus_order(bodies)
@@ -301,18 +302,18 @@ def repeated_windows(bodies: list[bytes]) -> list[np.ndarray]:
     starting[at] = True
     order = order[starting[order]]
     found = np.zeros(len(raw), bool)
-    windows = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)
+    windows = np.lib.stride_tricks.sliding_window_view(raw, length)
     wide = np.lib.stride_tricks.sliding_window_view(raw, 8)
     for k in range(0, len(order) - 1, 8192):
         a, b = order[k : k + 8193][:-1], order[k + 1 : k + 8193]
-        close = np.all(wide[a + LENGTH - 8] == wide[b + LENGTH - 8], axis=1)  # cheap, rules out most
+        close = np.all(wide[a + length - 8] == wide[b + length - 8], axis=1)  # cheap, rules out most
         a, b = a[close], b[close]
         same = np.all(windows[a] == windows[b], axis=1)
         found[a[same]] = found[b[same]] = True
     return [found[s : s + n] for s, n in zip(starts.tolist(), many.tolist(), strict=True)]
 
 
-def _flag_runs(batches):
+def _flag_runs(batches, length: int):
     """Runs of repeated windows in the wanted stretches; rows come sorted by anchor and whole anchors are ordered together."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -321,7 +322,7 @@ def _flag_runs(batches):
         bodies = batch.column("body").to_pylist()
         rows: list[tuple[int, int, int]] = []
         wanted, low = batch.column("wanted").to_pylist(), batch.column("low").to_pylist()
-        for k, flags in enumerate(repeated_windows(bodies)):
+        for k, flags in enumerate(repeated_windows(bodies, length)):
             if wanted[k] and flags.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
                 rows += [(k, low[k] + int(a), low[k] + int(b) - 1) for a, b in edge.reshape(-1, 2)]
@@ -349,10 +350,10 @@ def _flag_runs(batches):
     release()
 
 
-def _spans(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
+def _spans(low: np.ndarray, high: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Maximal runs [start, end) of bytes that windows low .. high cover."""
     order = np.argsort(low, kind="stable")
-    start, end = low[order], np.maximum.accumulate(high[order] + LENGTH)
+    start, end = low[order], np.maximum.accumulate(high[order] + length)
     fresh = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
     return list(zip(start[fresh].tolist(), end[np.append(fresh[1:], len(end)) - 1].tolist(), strict=True))
 
@@ -362,19 +363,24 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(20240229), text, F.octet_length(text)).alias("k2")]
 
 
-def removed_spans(docs: DataFrame, text: str, kernel_fields: list[T.StructField], finish) -> DataFrame:
-    """(k1, k2, fields) of each distinct text of LENGTH bytes or more; finish(text, spans) gives the fields."""
+def removed_spans(docs: DataFrame, text: str, kernel_fields: list[T.StructField], finish, length: int = LENGTH) -> DataFrame:
+    """(k1, k2, fields) of each distinct text of `length` bytes or more; finish(text, spans) gives the fields.
+
+    An anchor lies whole in a window: length is over REACH + AHEAD by as much as triggers are apart, or windows lack one.
+    """
+    if length <= 2 * REACH + AHEAD:
+        raise ValueError(f"windows of {length} bytes are too short for anchors of {REACH + AHEAD}")
     body = text_as_bytes(F.col(text))
-    long = docs.select(*text_key(body), body.alias("text")).filter(F.octet_length("text") >= LENGTH)
+    long = docs.select(*text_key(body), body.alias("text")).filter(F.octet_length("text") >= length)
     texts = long.groupBy(*KEYS).agg(F.count("*").alias("copies"), F.max("text").alias("text"))
     # What occurs twice is written before it is joined: both sides of the join then come
     # straight from shuffles, and Spark splits the partition of a hot hash.
     # 1. Anchors that occur twice.
-    anchors = _sliced(texts, _anchor_rows, "h long, k1 long, k2 long, place long")
+    anchors = _sliced(texts, _anchor_rows, "h long, k1 long, k2 long, place long", length)
     twice = scratch(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "twice")
     places = anchors.join(twice, "h", "left_semi").groupBy(*KEYS).agg(F.collect_list("place").alias("places"))
     # 2. Phrases that occur twice.
-    phrases = scratch(_sliced(texts.join(places, KEYS), _phrase_rows, "e1 long, e2 long, k1 long, k2 long, low long, high long, anchor long"), "phrases")
+    phrases = scratch(_sliced(texts.join(places, KEYS), _phrase_rows, "e1 long, e2 long, k1 long, k2 long, low long, high long, anchor long", length), "phrases")
     spot = F.struct("k1", "k2", "low")
     again = scratch(phrases.groupBy("e1", "e2").agg(F.count("*").alias("n"), F.min(spot).alias("first")).filter("n > 1").select("e1", "e2", "first"), "again")
     known = scratch(phrases.join(again, ["e1", "e2"], "left").select(*KEYS, "low", "high", "anchor", F.col("first").isNotNull().alias("repeated"), F.coalesce(F.col("first") == spot, F.lit(False)).alias("stands")), "known")
@@ -387,11 +393,11 @@ def removed_spans(docs: DataFrame, text: str, kernel_fields: list[T.StructField]
     sized = scratch(live.join(crowd, "anchor"), "live")  # alone at its anchor: repeated nowhere
     ranges = F.collect_list(F.struct("low", "high", "anchor", "wanted")).alias("ranges")
     cool, hot = (sized.filter(c).groupBy(*KEYS).agg(ranges) for c in (F.col("n") <= HOT_STRETCHES, F.col("n") > HOT_STRETCHES))
-    stretches = _sliced(texts.join(cool, KEYS), _stretch_rows, "anchor long, k1 long, k2 long, low long, wanted boolean, body binary")
+    stretches = _sliced(texts.join(cool, KEYS), _stretch_rows, "anchor long, k1 long, k2 long, low long, wanted boolean, body binary", length)
     # Ordering suffixes costs far more than moving them: partitions are of a few megabytes.
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sized.count() * STRETCH_BYTES // PARTITION_BYTES))
-    found = stretches.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_flag_runs, "k1 long, k2 long, low long, high long")
-    windows = _sliced(texts.join(hot, KEYS), _window_rows, "e1 long, e2 long, k1 long, k2 long, low long, wanted boolean")
+    found = stretches.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _flag_runs(batches, length), "k1 long, k2 long, low long, high long")
+    windows = _sliced(texts.join(hot, KEYS), _window_rows, "e1 long, e2 long, k1 long, k2 long, low long, wanted boolean", length)
     common = windows.groupBy("e1", "e2").agg(F.count("*").alias("n")).filter("n > 1").select("e1", "e2")
     hot_found = windows.filter("wanted").join(common, ["e1", "e2"], "left_semi").select(*KEYS, "low", F.col("low").alias("high"))
     covers = known.filter("repeated").select(*KEYS, "low", "high").unionByName(found).unionByName(hot_found)
@@ -403,7 +409,7 @@ def removed_spans(docs: DataFrame, text: str, kernel_fields: list[T.StructField]
         rows = []
         for k, (body, copies) in enumerate(zip(_binary(part, "text"), part.column("copies").to_pylist(), strict=True)):
             a, b = edges[k], edges[k + 1]
-            spans = [(0, len(body))] if copies > 1 else _spans(r["low"][a:b], r["high"][a:b]) if b > a else []
+            spans = [(0, len(body))] if copies > 1 else _spans(r["low"][a:b], r["high"][a:b], length) if b > a else []
             rows.append(finish(body, spans))
         made = {f.name: [row[k] for row in rows] for k, f in enumerate(kernel_fields)}
         return {**{k: part.column(k) for k in KEYS}, **{f.name: pa.array(made[f.name], _ARROW[f.name]) for f in kernel_fields}}
@@ -440,13 +446,13 @@ def dedup(docs: DataFrame, text: str = "text", fields: tuple[str, ...] = ("n_rem
     return met.select(*[F.col(f"c_{k}").alias(c) for k, c in enumerate(carried)], "n_bytes", *[F.when(short, whole[f]).otherwise(F.col(f)).alias(f) for f in fields])
 
 
-#: Bytes that stand for a word, so that a window of LENGTH bytes is one of LENGTH // CODE = 50 words.
-CODE = 8
+#: Bytes that stand for a word, and words of a passage's window.
+CODE, PASSAGE = 4, 50
 
 
 def _coded(texts: list[bytes]) -> list[bytes]:
-    """Each text's words as their 64-bit hashes, end to end; white space doesn't show."""
-    return [np.fromiter(map(xxhash.xxh64_intdigest, t.split()), "<u8").tobytes() for t in texts]
+    """Each text's words as 32 bits of their hashes, end to end; white space doesn't show."""
+    return [np.fromiter(map(xxhash.xxh32_intdigest, t.split()), "<u4").tobytes() for t in texts]
 
 
 def _word_spans(text: bytes, coded: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -456,50 +462,38 @@ def _word_spans(text: bytes, coded: list[tuple[int, int]]) -> list[tuple[int, in
     return [(words[a][0], words[b - 1][1]) for a, b in whole if a < b]
 
 
-def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans as maximal runs."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def dedup_passages(docs: DataFrame, text: str = "text", words: int = PASSAGE) -> DataFrame:
+    """docs with their text less each run of `words` words that also starts elsewhere, however short the words are and
+    whatever white space lies between them; a character of which a cut left a part goes. A null text is the empty text.
 
+    Runs of words are found as strings are, in texts of which each word is a code of CODE bytes. Windows of 50 words are
+    told apart by 1,600 bits: two that differ in one word alone are taken for equal once in 2**32.
+    """
+    body, code, held = text_as_bytes(F.col(text)), free_name(docs, "codes_"), free_name(docs, "spans_")
+    names = docs.columns
 
-def dedup_passages(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with their text less each string of LENGTH bytes and each run of LENGTH // CODE words that also starts elsewhere.
+    def code_rows(batches):
+        for batch in batches:
+            for part in slices(batch, text):
+                codes = pa.array(_coded([x or b"" for x in part.column(text).cast(pa.binary()).to_pylist()]), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, codes], names=[*part.schema.names, code])
+        release()
 
-    Runs of words are found as strings are, in texts of which each word is a code of
-    CODE bytes: a window of LENGTH bytes is then one of 50 words, however short they
-    are and whatever white space lies between them.
-    """
-    body = text_as_bytes(F.col(text))
-    spans = [T.StructField("spans", SPANS)]
+    coded = lambda df: df.mapInArrow(code_rows, T.StructType([*df.schema.fields, T.StructField(code, T.BinaryType())]))
     listed = lambda t, s: [[{"start": a, "end": b} for a, b in s]]
-    pairs = lambda x: [(s["start"], s["end"]) for s in x or ()]
-    # No row without a repeat is kept of either.
-    strings = scratch(removed_spans(docs, text, spans, listed).filter("size(spans) > 0"), "string-spans")
-    texts = docs.select(*text_key(body), body.alias("text")).groupBy(*KEYS).agg(F.max("text").alias("text"))
-    coded = scratch(_sliced(texts, lambda part: {**{k: part.column(k) for k in KEYS}, "codes": pa.array(_coded(_binary(part, "text")), pa.binary())}, "k1 long, k2 long, codes binary").filter(F.octet_length("codes") >= LENGTH), "codes")
-    # Exact copies of a text are covered by strings if they have LENGTH bytes, and else as copies of its codes.
-    copies = scratch(docs.select(*text_key(body)).groupBy(*KEYS).agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
-    keyed = coded.select(*KEYS, *[c.alias(k) for c, k in zip(text_key(F.col("codes")), ("c1", "c2"), strict=True)])
-    runs = removed_spans(coded, "codes", spans, listed).filter("size(spans) > 0").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "spans")
-    by_text = keyed.join(runs, ["c1", "c2"]).select(*KEYS, F.col("spans").alias("runs"))
-    twice = keyed.join(copies, KEYS, "left_semi").select(*KEYS, F.lit(True).alias("copied"))
-    found = scratch(strings.join(by_text, KEYS, "full").join(twice, KEYS, "full"), "spans")
-    drop_scratch(coded)
+    # Only texts with a repeat, and only their spans, are kept.
+    found = removed_spans(coded(docs.select(text)).select(code), code, [T.StructField("spans", SPANS)], listed, words * CODE).filter("size(spans) > 0")
+    found = scratch(found, "passage-spans")
+    keys = [free_name(docs, k) for k in ("k1_", "k2_")]
+    keyed = coded(docs).select(*names, *[c.alias(k) for c, k in zip(text_key(F.col(code)), keys, strict=True)])
+    met = keyed.join(found.toDF(*keys, held), keys, "left").select(*names, held)
+
+    def cut(batches):
+        for batch in batches:
+            for part in slices(batch, text):
+                bodies, spans = (part.column(c).to_pylist() for c in (text, held))
+                made = [kept_bytes(raw := (t or "").encode("utf-8", "replace"), _word_spans(raw, [(s["start"], s["end"]) for s in own])).decode("utf-8", "ignore") if own else t or "" for t, own in zip(bodies, spans, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if c == text else part.column(c) for c in names], names=names)
+        release()
 
-    def cut(part: pa.RecordBatch) -> dict[str, pa.Array]:
-        made = []
-        for t, s, r, copied in zip(_binary(part, "text"), part.column("spans").to_pylist(), part.column("runs").to_pylist(), part.column("copied").to_pylist(), strict=True):
-            both = [(0, len(t))] if copied else _union(pairs(s) + _word_spans(t, pairs(r)))
-            made.append(kept_bytes(t, both).decode("utf-8", "ignore"))
-        return {**{k: part.column(k) for k in KEYS}, "kept_": pa.array(made, pa.string())}
-
-    changed = _sliced(texts.join(found, KEYS), cut, "k1 long, k2 long, kept_ string")
-    own = [free_name(docs, k) for k in ("k1_", "k2_", "kept_")]
-    keys = [c.alias(k) for c, k in zip(text_key(body), own, strict=False)]
-    met = docs.select("*", *keys).join(changed.toDF(*own), own[:2], "left")
-    return met.select(*[F.coalesce(F.col(own[2]), body.cast("string")).alias(c) if c == text else c for c in docs.columns])
+    return met.mapInArrow(cut, docs.schema)

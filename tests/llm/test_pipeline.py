@@ -6,12 +6,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from leafmill.llm import langid, quality, substrings
-from tests.llm import test_quality, test_simhash, test_substrings
+from tests.llm import test_quality, test_substrings
 from tests.llm.fixtures import SCHEMA, documents, empty
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -81,18 +82,28 @@ def plain_language(rows, field):
 
 
 def plain_near_duplicates(rows):
-    fps = [test_simhash.brute_fp(r["text"]) for r in rows]
-    label = test_simhash.brute_classes(list(range(len(rows))), fps)
+    """Classes of texts by five-word shingles at a Jaccard similarity of 4/5, by comparing all pairs."""
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+    sets = [shingles(r["text"]) for r in rows]
+    label = list(range(len(rows)))
+    for k in range(len(rows)):
+        for j in range(k):
+            if 5 * len(sets[k] & sets[j]) >= 4 * len(sets[k] | sets[j]):
+                label = [label[j] if x == label[k] else x for x in label]
     best = {}
     for k, c in enumerate(label):
-        order = (rows[k]["doc_id"] is None, rows[k]["doc_id"] or 0, fps[k] - (1 << 64) if fps[k] >> 63 else fps[k])
+        t = xxhash.xxh64_intdigest((rows[k]["text"] or "").encode(), 42)
+        order = (rows[k]["doc_id"] is None, rows[k]["doc_id"] or 0, t - (1 << 64) if t >> 63 else t)
         if c not in best or order < best[c][0]:
             best[c] = (order, rows[k])
     return [r for _, r in best.values()]
 
 
 def plain_substrings(rows):
-    texts = test_substrings.brute([(r["text"] or "").encode() for r in rows], substrings.LENGTH)
+    texts = test_substrings.brute_passages([(r["text"] or "").encode() for r in rows], substrings.PASSAGE)
     return [(r["doc_id"], t := b.decode("utf-8", "ignore"), r["lang"], r["source"], len(t)) for r, b in zip(rows, texts, strict=True)]
 
 
@@ -136,3 +147,9 @@ def test_stages_match_brute_force(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_each_stage_on_empty_documents(spark, tmp_path):
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, empty(spark), str(tmp_path))
+        assert got.collect() == [] and (name == "best-fit packing" or got.columns == COLUMNS)

@@ -79,17 +79,15 @@ def test_awkward_rows(spark):
     assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_bytes"] - r["n_removed"]) for r in got) == sorted((str(r["doc_id"]), len((r["text"] or "").encode()), len(w)) for r, w in zip(rows, want, strict=True))
 
 
-def brute_passages(texts, length, words):
-    """Texts without strings of `length` bytes and runs of `words` words that also start elsewhere."""
+def brute_passages(texts, words):
+    """Texts without runs of `words` words that also start elsewhere."""
     at = [[m.span() for m in re.finditer(rb"[^ \t-\r]+", t)] for t in texts]
     run = lambda k, i: tuple(texts[k][a:b] for a, b in at[k][i : i + words])
-    strings = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     runs = Counter(run(k, i) for k in range(len(texts)) for i in range(len(at[k]) - words + 1))
     out = []
     for k, t in enumerate(texts):
         gone = [False] * len(t)
-        spans = [(i, i + length) for i in range(len(t) - length + 1) if strings[t[i : i + length]] > 1]
-        spans += [(at[k][i][0], at[k][i + words - 1][1]) for i in range(len(at[k]) - words + 1) if runs[run(k, i)] > 1]
+        spans = [(at[k][i][0], at[k][i + words - 1][1]) for i in range(len(at[k]) - words + 1) if runs[run(k, i)] > 1]
         for a, b in spans:
             gone[a:b] = [True] * (b - a)
         out.append(bytes(c for c, g in zip(t, gone, strict=True) if not g))
@@ -109,7 +107,7 @@ def test_passages_of_fifty_words_go_however_short(spark, seed):
     texts += [texts[9], texts[10], texts[0]]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["text"] for r in substrings.dedup_passages(df).collect()}
-    want = brute_passages([t.encode() for t in texts], 400, 50)
+    want = brute_passages([t.encode() for t in texts], 50)
     assert [got[k] for k in range(len(texts))] == [w.decode() for w in want]
 
 

@@ -93,9 +93,8 @@ def test_packing(spark):
     assert packing.pack(empty(spark), WORDS).collect() == []
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), min_size=1))
-def test_best_fit_rounds_equal_sequential_best_fit(histogram):
+def sequential(histogram, capacity):
+    """Gaps that best-fit decreasing leaves, one document at a time."""
     gaps: list[int] = []
     for length in sorted((n for n, k in histogram.items() for _ in range(k)), reverse=True):
         fits = [g for g in gaps if g >= length]
@@ -103,15 +102,49 @@ def test_best_fit_rounds_equal_sequential_best_fit(histogram):
             gaps.remove(min(fits))
             gaps.append(min(fits) - length)
         else:
-            gaps.append(64 - length)
+            gaps.append(capacity - length)
+    return gaps
+
+
+def placed(blocks, capacity):
+    """(documents of each length, filled places of each sequence); every block fills its sequences without a gap."""
     free: Counter = Counter()
-    seen: Counter = Counter()
-    for length, low, high, first, each, at in packing.best_fit(histogram, 64):
-        for rank in range(low, high):
-            seen[length] += 1
-            sequence = first + (rank - low) // each
-            assert free[sequence] == at + (rank - low) % each * length
-            free[sequence] += length
-            assert free[sequence] <= 64
-    assert seen == Counter(histogram)
-    assert sorted(64 - x for x in free.values()) == sorted(gaps)
+    seen: dict[int, list[int]] = {}
+    for length, low, n, seq, each, at in sorted(blocks, key=lambda b: b[5]):
+        for turn in range(n):
+            seen.setdefault(length, []).append(low + turn)
+            assert free[seq + turn // each] == at + turn % each * length
+            free[seq + turn // each] += length
+    assert all(sorted(ranks) == list(range(len(ranks))) for ranks in seen.values())
+    assert all(x <= capacity for x in free.values())
+    return Counter({k: len(v) for k, v in seen.items()}), free
+
+
+def test_best_fit_places_all_in_about_as_few_as_sequential_best_fit(spark):
+    draw = np.random.default_rng(3)
+    cases = [{64: 9, 33: 5, 32: 7, 31: 5, 1: 3}, {1: 2000}, {64: 3}, {33: 40}, {22: 90, 21: 7}, {int(k): int(n) for k, n in zip(draw.integers(1, 65, 40), draw.integers(1, 30, 40), strict=True)}]
+    for histogram in cases:
+        got = packing.best_fit(spark.createDataFrame(list(histogram.items()), "length long, n long"), 64).collect()
+        seen, free = placed([tuple(r) for r in got], 64)
+        assert seen == Counter(histogram)
+        assert len(free) <= len(sequential(histogram, 64)) + 1
+    assert packing.best_fit(spark.createDataFrame([], "length long, n long"), 64).collect() == []
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=12), st.dictionaries(st.integers(1, 63), st.integers(1, 20), max_size=12))
+def test_a_sweep_leaves_nothing_that_fits_in_its_range(docs, gaps):
+    width = 64 // packing.RANGES
+    rows = [(packing.DOCS, (k - 1) // width, k, 0, n, 0, 0, 0) for k, n in docs.items()]
+    rows += [(packing.GAPS, (k - 1) // width, k, 0, n, 1000 * k, 0, 0) for k, n in gaps.items()]
+    tokens = lambda rs, kind: sum(r[2] * r[4] for r in rs if r[0] == kind)
+    for at in range(packing.RANGES):
+        own = [r for r in rows if r[1] == at]
+        out = packing.sweep(own, 64)
+        assert tokens(out, packing.DOCS) + tokens(out, packing.BLOCKS) == tokens(own, packing.DOCS)
+        assert tokens(out, packing.GAPS) + tokens(out, packing.BLOCKS) == tokens(own, packing.GAPS)
+        left = [r for r in out if r[0] == packing.DOCS]
+        assert all(r[1] == (at + 1 if at + 1 < packing.RANGES else packing.ASIDE) for r in left)
+        assert not any(g[0] == packing.GAPS and g[1] == at and g[2] >= r[2] for r in left for g in out)
+    whole = packing.sweep(rows, 64)
+    assert sorted(whole) == sorted(r for at in range(packing.RANGES) for r in packing.sweep([r for r in rows if r[1] == at], 64))
