@@ -6,10 +6,14 @@ import struct
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from leafmill.functions.bytes import BLOCK, bitmap_size, content_kind, le, packed_decimal
+from leafmill.sources.packages import CHUNK
+from leafmill.staging import scratch
 
 from .windows import preceding_within
 
@@ -73,10 +77,113 @@ def jpeg_size(data: Column) -> Column:
     return F.pandas_udf(mapped, "struct<width:bigint,height:bigint>")(data)
 
 
+def _audio(data: bytes | None) -> dict | None:
+    """Fields of a RIFF wave, of bare wave chunks, or of MPEG audio; the walk goes from chunk to chunk."""
+    if not data:
+        return None
+    none = {"kind": None, "channels": None, "rate": None, "bits": None, "data_offset": None, "data_size": None}
+    whole = data[:4] == b"RIFF" and data[8:12] == b"WAVE"
+    at, found = 12 if whole else 0, {}
+    while at + 8 <= len(data) and all(32 <= x < 127 for x in data[at : at + 4]):
+        tag, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        if at + 8 + size > len(data) and tag != b"data":
+            break
+        found.setdefault(tag, (at + 8, min(size, len(data) - at - 8)))
+        if tag == b"data":
+            break
+        at += 8 + size + size % 2
+    if b"fmt " in found and found[b"fmt "][1] >= 16:
+        f = found[b"fmt "][0]
+        start, size = found.get(b"data", (None, None))
+        number = lambda k, n: int.from_bytes(data[f + k : f + k + n], "little")
+        return {"kind": "wave" if whole else "wave_chunks", "channels": number(2, 2), "rate": number(4, 4), "bits": number(14, 2), "data_offset": start, "data_size": size}
+    at = 10 + sum((x & 127) << 7 * (3 - k) for k, x in enumerate(data[6:10])) if data[:3] == b"ID3" and len(data) >= 10 else 0
+    if len(data) >= at + 4 and data[at] == 0xFF and data[at + 1] & 0xE0 == 0xE0:
+        version, rate = data[at + 1] >> 3 & 3, data[at + 2] >> 2 & 3
+        hertz = (44100, 48000, 32000)[rate] >> {3: 0, 2: 1, 0: 2}.get(version, 0) if rate < 3 else None
+        return none | {"kind": "mp3", "channels": 1 if data[at + 3] >> 6 == 3 else 2, "rate": hertz, "data_offset": at, "data_size": len(data) - at}
+    return None
+
+
+AUDIO = "struct<kind:string,channels:bigint,rate:bigint,bits:bigint,data_offset:bigint,data_size:bigint>"
+
+
+def audio_header(data: Column) -> Column:
+    """struct(kind, channels, rate, bits, data_offset, data_size) of waves, wave chunks without a RIFF head, and MPEG audio; null fields for others."""
+
+    def mapped(values: pd.Series) -> pd.DataFrame:
+        names = ["kind", "channels", "rate", "bits", "data_offset", "data_size"]
+        frame = pd.DataFrame([_audio(v) or {} for v in values], columns=names)
+        return frame.astype({n: "Int64" for n in names[1:]})
+
+    return F.pandas_udf(mapped, AUDIO)(data)
+
+
 def wave_format(data: Column) -> Column:
-    """struct(channels, rate, bits, bytes) of RIFF waves whose format chunk comes first; null for others."""
-    fits = F.startswith(data, F.lit(b"RIFF")) & (F.hex(F.substring(data, 9, 8)) == "57415645666D7420")
-    return F.when(fits, F.struct(le(data, 22, 2).alias("channels"), le(data, 24, 4).alias("rate"), le(data, 34, 2).alias("bits"), le(data, 4, 4).alias("bytes")))
+    """struct(channels, rate, bits, bytes) of RIFF waves, wherever their format chunk stands; null for others."""
+    head = audio_header(data)
+    return F.when(head["kind"] == "wave", F.struct(head["channels"].alias("channels"), head["rate"].alias("rate"), head["bits"].alias("bits"), le(data, 4, 4).alias("bytes")))
+
+
+def _little(value: Column, n: int) -> Column:
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(value.cast("long"), 8 * k).bitwiseAND(0xFF)), 2, "0") for k in range(n)]))
+
+
+def riff_wrapped(chunks: Column) -> Column:
+    """Wave chunks with the head that makes them a file; what has one stays as it is."""
+    made = F.concat(F.lit(b"RIFF"), _little(F.octet_length(chunks) + 4, 4), F.lit(b"WAVE"), chunks)
+    return F.when(F.startswith(chunks, F.lit(b"RIFF")), chunks).otherwise(made)
+
+
+def file_names(payloads: DataFrame, within: list[str], number: str, name: str, data: str) -> DataFrame:
+    """payloads with file_name: their name made safe, with an extension by content, and their number before it where an earlier one has the name."""
+    stem = F.regexp_replace(F.regexp_replace(F.coalesce(F.nullif(name, F.lit("")), F.concat(F.lit("media_"), number)), "[^0-9A-Za-z._-]+", "_"), "^[._]+|[._]+$", "")
+    stem = F.when(stem == "", F.concat(F.lit("media_"), number)).otherwise(stem)
+    kind = content_kind(F.col(data))["kind"]
+    made = F.when(stem.rlike(r"[^.]\.[^.]+$"), stem).otherwise(F.concat(stem, F.lit("."), F.when(kind == "unknown", "bin").when(kind == "riff", "wav").otherwise(kind)))
+    rows = payloads.withColumn("file_name", made)
+    place = F.row_number().over(Window.partitionBy(*within, "file_name").orderBy(number))
+    return rows.withColumn("nth_", place).withColumn("file_name", F.when(F.col("nth_") == 1, F.col("file_name")).otherwise(F.concat(F.lpad(F.col(number).cast("string"), F.greatest(F.lit(5), F.length(F.col(number).cast("string"))), "0"), F.lit("_"), "file_name"))).drop("nth_")
+
+
+def write_files(named: DataFrame, path: str, folder: str, name: str = "file_name", data: str = "payload") -> DataFrame:
+    """Write each payload to path/folder/name, from the tasks; (folder, name, bytes) of what was written. path is a URI that all executors reach."""
+    rows = named.select(F.col(folder).cast("string").alias("folder"), F.col(name).alias("name"), F.col(data).alias("data"))
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            store, base = fs.FileSystem.from_uri(path)
+            for f, n, d in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                store.create_dir(f"{base}/{f}", recursive=True)
+                with store.open_output_stream(f"{base}/{f}/{n}") as out:
+                    out.write(d)
+            yield pa.RecordBatch.from_pydict({"folder": batch.column(0), "name": batch.column(1), "bytes": pa.array([len(d) for d in batch.column(2).to_pylist()], pa.int64())})
+
+    return scratch(rows.mapInArrow(run, "folder string, name string, bytes long"), "written")
+
+
+def referenced(refs: DataFrame, expanded: DataFrame, inclusive: bool = False) -> DataFrame:
+    """refs (package_id, start_block, start_offset, size) with the bytes of their range, put together from the chunks that hold it.
+
+    The chunk table's start_block says where a component begins. A range in no chunk keeps null bytes.
+    """
+    at = F.col("start_block") * BLOCK + F.col("start_offset") if "place" not in refs.columns else F.col("place")
+    keyed = refs.withColumn("ref_", F.monotonically_increasing_id()).withColumn("at_", at.cast("long"))
+    keyed = scratch(keyed.withColumn("end_", F.col("at_") + F.col("size") + (1 if inclusive else 0)), "refs")
+    held = expanded.select("package_id", (F.col("start_block") * BLOCK + F.col("chunk_idx").cast("long") * CHUNK).alias("base"), "bytes")
+    # A chunk begins at a multiple of a block, so it is dealt to the buckets of a chunk's width that it overlaps.
+    dealt = held.withColumn("bucket", F.explode(F.array(F.floor(F.col("base") / CHUNK), F.floor((F.col("base") + F.octet_length("bytes") - 1) / CHUNK)))).distinct()
+    asked = keyed.filter("end_ > at_").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("at_") / CHUNK), F.floor((F.col("end_") - 1) / CHUNK))))
+    low, high = F.greatest("at_", "base"), F.least("end_", F.col("base") + F.octet_length("bytes"))
+    # A bucket's own part only, so that a chunk in two buckets doesn't count twice.
+    low, high = F.greatest(low, F.col("bucket") * CHUNK), F.least(high, (F.col("bucket") + 1) * CHUNK)
+    met = asked.join(dealt, ["package_id", "bucket"]).withColumn("low", low).withColumn("high", high).filter("low < high")
+    part = F.substr("bytes", (F.col("low") - F.col("base") + 1).cast("int"), (F.col("high") - F.col("low")).cast("int"))
+    joined = met.select("ref_", "low", part.alias("part")).groupBy("ref_").agg(F.array_sort(F.collect_list(F.struct("low", "part"))).alias("parts"))
+    body = F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["part"]))
+    return keyed.join(joined.select("ref_", body.alias("bytes")), "ref_", "left").select(*refs.columns, "bytes")
 
 
 def summary(recs: DataFrame) -> DataFrame:
@@ -97,3 +204,18 @@ def glyph_png(width: Column, height: Column, glyph: Column) -> Column:
         return pd.Series([png(int(a), int(b), bytes(c)) for a, b, c in zip(w, h, g, strict=True)], dtype=object)
 
     return F.pandas_udf(mapped, "binary")(width, height, glyph)
+
+
+def glyph_bmp(width: Column, height: Column, glyph: Column) -> Column:
+    """A one-bit glyph as a BMP with its ink black; rows are padded to four bytes and stand bottom up."""
+
+    def bmp(w: int, h: int, bits: bytes) -> bytes:
+        row = (w + 7) // 8
+        lines = b"".join(bytes(255 - x for x in bits[k * row : (k + 1) * row]).ljust(-(-row // 4) * 4, b"\0") for k in reversed(range(h)))
+        head = struct.pack("<IiiHHIIiiII", 40, w, h, 1, 1, 0, len(lines), 2835, 2835, 2, 2) + b"\0\0\0\0\xff\xff\xff\0"
+        return b"BM" + struct.pack("<IHHI", 14 + len(head) + len(lines), 0, 0, 14 + len(head)) + head + lines
+
+    def mapped(w: pd.Series, h: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series([bmp(int(a), int(b), bytes(c)) for a, b, c in zip(w, h, g, strict=True)], dtype=object)
+
+    return F.pandas_udf(mapped, "binary")(width, height, glyph)

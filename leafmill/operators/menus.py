@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmill.functions.bytes import pointer
+from leafmill.functions.bytes import pointer, virtual_selector
 
+from .joins import first_containing
 from .streams import glyph_text
 from .windows import paths
 
@@ -42,17 +43,39 @@ def lines(decoded: DataFrame, keys: list[str]) -> DataFrame:
     return made.join(links, [*keys, "line_idx"], "left").filter("text <> '' or links is not null")
 
 
-def tree(rows: DataFrame, keys: list[str], deepest: int = 16) -> DataFrame:
+def tree(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows with depth, the rank of their first section code among their menu's (1 without one), and path of labels."""
     code = F.conv(F.get("section_codes", F.lit(0)), 16, 10).cast("long")
     coded = rows.withColumn("code_", code)
     ranks = coded.filter("code_ is not null").select(*keys, "code_").distinct().withColumn("depth", F.dense_rank().over(Window.partitionBy(*keys).orderBy("code_")))
     label = F.coalesce(F.nullif("text", F.lit("")), F.get("links", F.lit(0))["label"], F.lit(""))
     met = coded.join(ranks, [*keys, "code_"], "left").withColumn("depth", F.coalesce("depth", F.lit(1))).drop("code_").withColumn("label_", label)
-    return paths(met, keys, "line_idx", "depth", "label_", deepest).drop("label_")
+    return paths(met, keys, "line_idx", "depth", "label_").drop("label_")
 
 
 def destination_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, links, null_links, pointing): what the links of each menu add up to."""
     each = rows.select(*keys, F.explode("links").alias("l"))
     return each.groupBy(*keys).agg(F.count("*").alias("links"), F.count_if(F.col("l.is_null")).alias("null_links"), F.count_if(F.col("l.block").isNotNull() & ~F.col("l.is_null")).alias("pointing"))
+
+
+def leaf_like(rows: DataFrame, keys: list[str], order: str, depth: str = "depth") -> DataFrame:
+    """rows with leaf: the next row of their list is no deeper, or there is none."""
+    after = F.lead(depth).over(Window.partitionBy(*keys).orderBy(order))
+    return rows.withColumn("leaf", F.coalesce(after <= F.col(depth), F.lit(True)))
+
+
+def index_statistics(rows: DataFrame, components: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, family, key, n) of auxiliary index rows: depths, kinds of target, components that they lead to, null pointers and leaves.
+
+    keys begin with package_id. A pointer is null, in the first component that holds its block, a selector, or leads to none.
+    """
+    ranges = components.filter("start_block > 0").select("package_id", F.col("component").alias("target"), "start_block", "end_block", "idx")
+    known = first_containing(leaf_like(rows, keys, "line_no").select(*keys, "line_no", "depth", "block", "offset", "leaf"), ranges, "package_id", "block", "start_block", "end_block", "idx", ["target"], 64)
+    null, chosen = (F.col("block") == 0) & (F.col("offset") == 0), virtual_selector(F.col("block"), F.col("offset"))
+    kind = F.when(F.col("target").isNotNull(), "component").when(null, "null").when(chosen > 0, "selector").otherwise("none")
+    entry = lambda family, key, keep: F.when(keep, F.struct(F.lit(family).alias("family"), key.cast("string").alias("key")))
+    each = F.array_compact(F.array(
+        entry("depth", F.col("depth"), F.lit(True)), entry("target", kind, F.lit(True)), entry("component", F.col("target"), F.col("target").isNotNull()),
+        entry("pointer", F.lit("zero"), null), entry("row", F.lit("leaf"), F.col("leaf"))))
+    return known.select(*keys, F.explode(each).alias("e")).groupBy(*keys, "e.family", "e.key").agg(F.count("*").alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from leafmill.functions.bytes import BLOCK, virtual_selector
 from leafmill.sources.packages import BODY_TYPE, INDEX_TYPES, TITLE_TYPES
@@ -84,43 +85,99 @@ def edge_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("package_id", "kind", "status").agg(F.count("*").alias("n"))
 
 
-def capabilities(components: DataFrame, edges: DataFrame, coverage: DataFrame) -> DataFrame:
-    """One row a package: body, indexes, titles and menus as yes, partial, no or n/a, with blockers and a colour.
+CAPABILITIES = ["body", "indexes", "titles", "glyphs", "media", "menus"]
+#: profile -> (column or count, statuses or None for any count above zero, blocker), in the order in which blockers are named.
+BLOCKERS = {
+    "read": [("body", ["unknown"], "body_source_unknown"), ("indexes", ["no", "partial", "unknown"], "indexes_not_fully_parsed"), ("issues", None, "unknown_or_structural_text_issues"), ("parse_errors", None, "component_parse_errors")],
+    "export": [
+        ("body", ["no"], "body_requires_sidecar_or_is_missing"), ("body", ["unknown"], "body_source_unknown"), ("indexes", ["no", "partial", "unknown"], "indexes_not_fully_parsed"),
+        ("glyphs", ["no", "partial", "unknown"], "glyphs_not_fully_resolved"), ("media", ["no", "partial", "unknown"], "media_not_fully_resolved"), ("issues", None, "unknown_or_structural_text_issues"),
+        ("parse_errors", None, "component_parse_errors"), ("needs_sidecar", None, "raw_body_not_self_contained"),
+    ],
+    "author_core": [("indexes", ["no", "partial", "unknown"], "indexes_not_fully_parsed"), ("issues", None, "unknown_or_structural_text_issues"), ("parse_errors", None, "component_parse_errors")],
+}
+BLOCKERS["lossless_repack"] = [("missing", None, "missing_declared_components"), *BLOCKERS["export"], ("titles", ["no", "partial", "unknown"], "titles_not_fully_parsed"), ("menus", ["no", "partial", "unknown"], "menu_not_fully_resolved")]
+RED = ["body_requires_sidecar_or_is_missing", "body_source_unknown", "indexes_not_fully_parsed", "unknown_or_structural_text_issues", "component_parse_errors"]
 
-    coverage: (package_id, bytes, issues) of decoded streams.
+
+def capabilities(components: DataFrame, edges: DataFrame, coverage: DataFrame, glyphs: DataFrame | None = None, sidecar_bodies: DataFrame | None = None) -> DataFrame:
+    """One row a package: CAPABILITIES as yes, partial, no or n/a, each with its reason, with blockers and a colour.
+
+    coverage: (package_id, bytes, issues) of decoded streams; glyphs: (package_id, status, unresolved, occurrences);
+    sidecar_bodies: (package_id) whose body is only an anchor table. Media are stores, partial where a reference leads nowhere.
     """
+    spark = components.sparkSession
     rolled = components.withColumn("role", role(F.col("ctype"), F.col("component")))
+    rolled = rolled.withColumn("role", F.when(F.col("role").isin("image_store", "audio_store"), "media").otherwise(F.col("role")))
     n = lambda r, ok=False: F.count_if((F.col("role") == r) & ((F.col("status") == "ok") | F.lit(not ok)))
-    per = rolled.groupBy("package_id").agg(*[e for r in ("body", "title", "index", "menu") for e in (n(r).alias(f"n_{r}"), n(r, True).alias(f"ok_{r}"))])
-    kinds = edges.groupBy("package_id").agg(
-        F.count_if(F.col("kind").startswith("index_") & (F.col("status") == "unresolved")).alias("lost_index"), F.count_if((F.col("kind") == "menu_destination") & (F.col("status") == "unresolved")).alias("lost_menu"))
+    per = rolled.groupBy("package_id").agg(
+        *[e for r in ("body", "title", "index", "menu", "media") for e in (n(r).alias(f"n_{r}"), n(r, True).alias(f"ok_{r}"))],
+        F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(~F.col("status").isin("ok", "missing")).alias("parse_errors"))
+    lost = lambda test: F.count_if(test & F.col("status").isin("unresolved", "missing_target", "invalid_pointer"))
+    kinds = edges.groupBy("package_id").agg(lost(F.col("kind").startswith("index_")).alias("lost_index"), lost(F.col("kind") == "menu_destination").alias("lost_menu"), lost(F.col("kind") == "media").alias("lost_media"))
     issues = coverage.groupBy("package_id").agg(F.sum("issues").alias("issues"))
-    rows = per.join(kinds, "package_id", "left").join(issues, "package_id", "left").fillna(0)
+    seen = glyphs if glyphs is not None else spark.createDataFrame([], "package_id string, status string, unresolved long, occurrences long")
+    sided = sidecar_bodies.select("package_id").distinct() if sidecar_bodies is not None else spark.createDataFrame([], "package_id string")
+    rows = per.join(kinds, "package_id", "left").join(issues, "package_id", "left").join(sided.withColumn("needs_sidecar", F.lit(1)), "package_id", "left")
+    rows = rows.join(seen.select("package_id", F.col("status").alias("glyphs"), "unresolved", "occurrences"), "package_id", "left").fillna(0).fillna("n/a", ["glyphs"])
     state = lambda r: coverage_status(F.col(f"ok_{r}"), F.col(f"n_{r}"))
     lessened = lambda s, lost: F.when((s == "yes") & (lost > 0), "partial").otherwise(s)
+    body = F.when(F.col("needs_sidecar") > 0, "no").otherwise(lessened(state("body"), F.col("issues")))
+    said = lambda *names: F.concat_ws("; ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in names])
     rows = rows.select(
-        "package_id", lessened(state("body"), F.col("issues")).alias("body"), lessened(state("index"), F.col("lost_index")).alias("indexes"),
-        state("title").alias("titles"), lessened(state("menu"), F.col("lost_menu")).alias("menus"), (F.col("lost_index") + F.col("lost_menu")).alias("residuals"), "issues",
+        "package_id", body.alias("body"), lessened(state("index"), F.col("lost_index")).alias("indexes"), state("title").alias("titles"), "glyphs",
+        lessened(state("media"), F.col("lost_media")).alias("media"), lessened(state("menu"), F.col("lost_menu")).alias("menus"),
+        said("ok_body", "n_body", "issues", "needs_sidecar").alias("body_reason"), said("ok_index", "n_index", "lost_index").alias("indexes_reason"), said("ok_title", "n_title").alias("titles_reason"),
+        said("occurrences", "unresolved").alias("glyphs_reason"), said("ok_media", "n_media", "lost_media").alias("media_reason"), said("ok_menu", "n_menu", "lost_menu").alias("menus_reason"),
+        (F.col("lost_index") + F.col("lost_menu") + F.col("lost_media")).alias("residuals"), "issues", "missing", "parse_errors", "needs_sidecar",
     )
-    made = readiness(rows, ["body", "indexes", "titles", "menus"])
+    made = readiness(rows, CAPABILITIES)
     return made.withColumn("closure", closure(F.col("residuals"), F.col("issues"))).drop("residuals")
 
 
-def scorecard(matrix: DataFrame, components: DataFrame, edges: DataFrame) -> DataFrame:
-    """(family, key, n): counters of a corpus in long form, of which any level can be summed again."""
-    counted = lambda df, family, key: df.groupBy(key.alias("key")).agg(F.count("*").alias("n")).select(F.lit(family).alias("family"), "key", "n")
-    made = counted(components, "component_status", F.concat_ws(":", role(F.col("ctype"), F.col("component")), "status"))
-    made = made.unionByName(counted(edges, "edge_status", F.concat_ws(":", "kind", "status")))
-    for name in ("body", "indexes", "titles", "menus", "profile", "closure"):
-        made = made.unionByName(counted(matrix, name, F.col(name)))
-    return made.unionByName(counted(matrix.select(F.explode("blockers").alias("b")), "blocker", F.col("b")))
+def readiness_profiles(matrix: DataFrame) -> DataFrame:
+    """(package_id, purpose, status, blockers): what keeps a package from being read, exported, written anew or repacked; red, yellow or green."""
+    made = None
+    for purpose, rules in BLOCKERS.items():
+        named = [F.when(F.col(c) > 0 if states is None else F.col(c).isin(states), F.lit(blocker)) for c, states, blocker in rules]
+        found = F.array_distinct(F.array_compact(F.array(*named)))
+        red = RED + (["missing_declared_components"] if purpose == "lossless_repack" else [])
+        status = F.when(F.arrays_overlap("blockers", F.array(*map(F.lit, red))), "red").when(F.size("blockers") > 0, "yellow").otherwise("green")
+        own = matrix.select("package_id", F.lit(purpose).alias("purpose"), found.alias("blockers")).select("package_id", "purpose", status.alias("status"), "blockers")
+        made = own if made is None else made.unionByName(own)
+    return made
+
+
+def scorecard(matrix: DataFrame, components: DataFrame, edges: DataFrame, more: dict[str, tuple[DataFrame, Column]] | None = None) -> DataFrame:
+    """(family, key, n): counters of a corpus in long form, of which any level can be summed again.
+
+    more: further families, each a table with the key of its rows (glyph or media statuses, search
+    outcomes, heading sources, sidecar roles, page issues, telemetry of decoding ...).
+    """
+    counted = lambda df, family, key: df.groupBy(key.cast("string").alias("key")).agg(F.count("*").alias("n")).select(F.lit(family).alias("family"), "key", "n")
+    tables = {
+        "component_status": (components, F.concat_ws(":", role(F.col("ctype"), F.col("component")), "status")),
+        "component_type": (components, F.lower(F.lpad(F.hex("ctype"), 2, "0"))), "component_role": (components, role(F.col("ctype"), F.col("component"))),
+        "edge_status": (edges, F.concat_ws(":", "kind", "status")), "edge_method": (edges, F.concat_ws(":", "kind", "method")), "edge_target": (edges.filter("to_component is not null"), F.concat_ws(":", "kind", "to_component")),
+        **{name: (matrix, F.col(name)) for name in (*CAPABILITIES, "profile", "closure")},
+        "blocker": (matrix.select(F.explode("blockers").alias("b")), F.col("b")), "packages_with_issues": (matrix.filter("issues > 0"), F.lit("any")),
+    } | (more or {})
+    profiles = readiness_profiles(matrix)
+    tables |= {"purpose_status": (profiles, F.concat_ws(":", "purpose", "status")), "purpose_blocker": (profiles.select("purpose", F.explode("blockers").alias("b")), F.concat_ws(":", "purpose", "b"))}
+    made = None
+    for family, (df, key) in tables.items():
+        own = counted(df, family, key)
+        made = own if made is None else made.unionByName(own)
+    return made
 
 
 def inconsistencies(components: DataFrame, edges: DataFrame) -> DataFrame:
-    """(package_id, code, detail, n): files that are missing or opaque, overlapping ranges, pointers that lead nowhere."""
+    """(package_id, code, detail, n): files that are missing or opaque, ranges that overlap one before them, pointers that lead nowhere."""
     bad = components.filter("status <> 'ok'").groupBy("package_id", F.concat(F.lit("component_"), "status").alias("code"), F.col("component").alias("detail")).agg(F.count("*").alias("n"))
-    a, b = (components.filter("start_block > 0").select("package_id", *[F.col(c).alias(f"{c}_{s}") for c in ("component", "idx", "start_block", "end_block")]) for s in "ab")
-    over = a.join(b, "package_id").filter("idx_a < idx_b and start_block_a <= end_block_b and start_block_b <= end_block_a")
-    over = over.groupBy("package_id", F.lit("overlapping_ranges").alias("code"), F.concat_ws("/", "component_a", "component_b").alias("detail")).agg(F.count("*").alias("n"))
+    # In order of their starts, a range overlaps one before it if it begins at or before the furthest end so far.
+    before = Window.partitionBy("package_id").orderBy("start_block", "idx").rowsBetween(Window.unboundedPreceding, -1)
+    furthest = F.max(F.struct("end_block", "component")).over(before)
+    over = components.filter("start_block > 0").withColumn("far", furthest).filter("far.end_block >= start_block")
+    over = over.select("package_id", F.lit("overlapping_ranges").alias("code"), F.concat_ws("/", "far.component", "component").alias("detail"), F.lit(1).cast("long").alias("n"))
     lost = edges.filter("status in ('unresolved', 'missing_target', 'invalid_pointer')").groupBy("package_id", F.col("status").alias("code"), F.col("kind").alias("detail")).agg(F.count("*").alias("n"))
     return bad.unionByName(over).unionByName(lost)

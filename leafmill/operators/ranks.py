@@ -6,27 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges into which the leading key is cut.
-CUTS = 64
-
-
-def _ranges(df: DataFrame, key: str) -> Column:
-    """The range of a numeric key, between approximate quantiles; equal keys share a range."""
-    found = df.agg(F.percentile_approx(key, [k / CUTS for k in range(1, CUTS)])).first()[0] or []
-    edges = sorted(set(found))
-    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(key))) if edges else F.lit(0)
-
-
-def with_rank(df: DataFrame, key: str, ties: list[Column] | None = None, name: str = "rank") -> DataFrame:
-    """df with the 1-based rank by (key, ties): ranks within ranges of the key, plus the rows of the ranges before."""
-    return running(df, key, ties, F.lit(1), name)
-
-
-def running(df: DataFrame, key: str, ties: list[Column] | None, value: Column, name: str) -> DataFrame:
-    """df with the running sum of value in the order (key, ties), this row included."""
-    cut = df.withColumn("range_", _ranges(df, key)).withColumn("value_", value.cast("long"))
-    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # over at most CUTS rows
-    bases = cut.groupBy("range_").agg(F.sum("value_").alias("n_")).select("range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"))
-    own = Window.partitionBy("range_").orderBy(key, *(ties or [])).rowsBetween(Window.unboundedPreceding, 0)
-    met = cut.withColumn("own_", F.sum("value_").over(own)).join(F.broadcast(bases), "range_")
-    return met.withColumn(name, (F.col("base_") + F.col("own_")).cast("long")).drop("range_", "value_", "own_", "base_")
+from leafmill.staging import scratch
+
+
+def with_rank(df: DataFrame, key: str | list[str], ties: list[Column] | None = None, name: str = "rank") -> DataFrame:
+    """df with the 1-based rank by (key, ties): ranks within ranges of the order, plus the rows of the ranges before."""
+    return running(df, key, ties, {name: F.lit(1)})
+
+
+def running(df: DataFrame, key: str | list[str], ties: list[Column] | None, sums: dict[str, Column]) -> DataFrame:
+    """df with the running sum of each value in the order (key, ties), this row included.
+
+    Rows are dealt to as many ranges as there are shuffle partitions, by the whole order,
+    so that ties of a frequent key spread too. The ranges are written before they are
+    counted: sampled bounds may differ when they are drawn again.
+    """
+    order = [F.col(k) for k in ([key] if isinstance(key, str) else key)] + list(ties or [])
+    own = {name: f"own_{k}_" for k, name in enumerate(sums)}
+    valued = df.select("*", *[sums[name].cast("long").alias(c) for name, c in own.items()])
+    cut = scratch(valued.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    totals = cut.groupBy("range_").agg(*[F.sum(c).alias(c) for c in own.values()])
+    bases = totals.select("range_", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"base{c}") for c in own.values()])
+    upto = Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = cut.select("*", *[F.sum(c).over(upto).alias(f"sum{c}") for c in own.values()]).join(F.broadcast(bases), "range_")
+    return placed.select(*df.columns, *[(F.col(f"base{c}") + F.col(f"sum{c}")).cast("long").alias(name) for name, c in own.items()])

@@ -40,9 +40,16 @@ def search(rows: DataFrame, key: str, query: str, phases: list[str], identity: l
 
 
 def search_many(rows: DataFrame, key: str, terms: DataFrame, term: str, identity: list[str], limit: int, least: int) -> DataFrame:
-    """Forward hits of many terms of `least` characters or more: an equality on the first `least` characters, then the prefix."""
-    head = lambda c: F.substring(c, 1, least)
-    asks = terms.select(F.col(term).alias("term"), head(F.col(term)).alias("head")).filter(F.length("term") >= least).distinct()
-    met = rows.withColumn("head", head(F.col(key))).join(asks, "head").filter(F.startswith(F.col(key), F.col("term")))
+    """Forward hits of many terms, at most `limit` for each: an equality on the first `least` characters, then the prefix.
+
+    Shorter terms meet by as many characters as they have, one equality for each length;
+    the empty term, which begins every key, takes the first rows of all.
+    """
+    asks = terms.select(F.col(term).alias("term")).filter("term is not null").distinct()
+    made = rows.orderBy(key, *identity).limit(limit).join(F.broadcast(asks.filter("term = ''")), how="cross")  # at most one such term
+    for n in range(1, least + 1):
+        own = asks.filter(F.length("term") == n if n < least else F.length("term") >= n).withColumn("head", F.substring("term", 1, n))
+        met = rows.withColumn("head", F.substring(key, 1, n)).join(own, "head").drop("head")
+        made = made.unionByName(met.filter(F.startswith(F.col(key), F.col("term"))) if n == least else met)
     place = F.row_number().over(Window.partitionBy("term").orderBy(key, *identity))
-    return met.withColumn("hit_id", place).filter(F.col("hit_id") <= limit).select("term", "hit_id", F.col(key).alias("matched_key"), *identity)
+    return made.withColumn("hit_id", place).filter(F.col("hit_id") <= limit).select("term", "hit_id", F.col(key).alias("matched_key"), *identity)

@@ -26,6 +26,8 @@ PAYLOAD = {
     0x09: 2, 0x1A: 2, 0x1C: 2, 0x36: 12, 0x37: 10, 0x3C: 18, 0x41: 2, 0x44: 10, 0x48: 10, 0x49: 10, 0x4B: 6, 0x4C: 2, 0x4D: 18,
     0x62: 6, 0x63: 6, 0x64: 6, 0xE0: 2, 0xE2: 2, 0xE4: 2, 0xE6: 2,
 }
+#: Operators whose payload depends on its first bytes, with what they need at least.
+MODAL = {0x4A: 2, 0x4E: 2, 0x4F: 34}
 #: tag -> (start operators, end operators)
 TAGS = {
     "halfwidth": ([0x04], [0x05]), "sub": ([0x06], [0x07]), "literal": ([0x0B], [0x0C]), "sup": ([0x0E], [0x0F]), "italic": ([0x10], [0x11]), "em": ([0x12], [0x13]),
@@ -72,15 +74,17 @@ def token_pattern() -> str:
 
 
 def control_table(spark: SparkSession) -> DataFrame:
-    """(op, tag, step_half, step_private, known, role): behavior of control operators."""
+    """(op, tag, step_half, step_private, role, size): behavior of control operators and the payload bytes that they need at least."""
     rows = {}
     for tag, (starts, ends) in TAGS.items():
         for ops, sign in ((starts, 1), (ends, -1)):
             for op in ops:
-                rows[op] = (f"{op:02x}", tag, sign * (tag == "halfwidth"), sign * (tag == "private"), "start" if sign > 0 else "end")
+                rows[op] = (tag, sign * (tag == "halfwidth"), sign * (tag == "private"), "start" if sign > 0 else "end")
     for op, tag in SILENT.items():
-        rows[op] = (f"{op:02x}", tag, 0, 0, "silent")
-    return spark.createDataFrame(list(rows.values()), "op string, tag string, step_half int, step_private int, role string")
+        rows[op] = (tag, 0, 0, "silent")
+    sizes = PAYLOAD | MODAL
+    made = [(f"{op:02x}", *rows.get(op, (None, 0, 0, None)), sizes.get(op, 0)) for op in sorted(rows.keys() | sizes.keys())]
+    return spark.createDataFrame(made, "op string, tag string, step_half int, step_private int, role string, size int")
 
 
 def _cell(code: int) -> str:
@@ -128,10 +132,7 @@ def spans(streams: DataFrame, keys: list[str], data: str = "bytes", glyphs: Data
         rows = rows.withColumn("resolved", F.lit(None).cast("string"))
     for step, depth in (("step_half", "half"), ("step_private", "private")):
         rows = clipped_depth(rows, keys, ["span"], F.coalesce(F.col(step), F.lit(0)), depth)
-    needs = F.lit(None).cast("int")
-    for op, size in [*PAYLOAD.items(), (0x4A, 2), (0x4E, 2), (0x4F, 34)]:
-        needs = F.when(F.col("op") == f"{op:02x}", size).otherwise(needs)
-    cut = control & ((F.col("n") == 1) | (F.coalesce(needs, F.lit(0)) + 2 > F.col("n")))
+    cut = control & ((F.col("n") == 1) | (F.coalesce("size", F.lit(0)) + 2 > F.col("n")))
     issue = (
         F.when(cut, "truncated_control").when(control & F.col("role").isNull() & ~F.col("op").isin("09", "0a"), "unknown_control")
         .when(pair & F.col("char").isNull(), "invalid_cell").when(glyph & (F.col("n") == 1), "truncated_glyph")
@@ -193,6 +194,18 @@ def coverage(decoded: DataFrame, keys: list[str]) -> DataFrame:
     return decoded.groupBy(*keys).agg(F.count("*").alias("spans"), F.sum(F.col("end") - F.col("start")).alias("bytes"), F.count("issue").alias("issues"))
 
 
+def strict(decoded: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(spans of streams without an issue, (keys, start, issue) of the first issue of each other stream): errors are rows."""
+    errors = decoded.filter("issue is not null").groupBy(*keys).agg(F.min(F.struct("start", "issue")).alias("e")).select(*keys, "e.start", "e.issue")
+    return decoded.join(errors.select(*keys), keys, "left_anti"), errors
+
+
+def checked(decoded: DataFrame) -> DataFrame:
+    """decoded, failing at the first span with an issue."""
+    said = F.concat(F.lit("stream issue: "), "issue", F.lit(" at "), F.col("start").cast("string"))
+    return decoded.withColumn("issue", F.when(F.col("issue").isNotNull(), F.raise_error(said).cast("string")))
+
+
 def op_counts(decoded: DataFrame, by: list[str]) -> DataFrame:
     return decoded.filter("op is not null").groupBy(*by, "op").agg(F.count("*").alias("n"))
 
@@ -232,12 +245,11 @@ def index_leaves(pages: DataFrame) -> DataFrame:
         cut = F.when(F.col("ctype").isin(types), F.regexp_extract_all(page, F.lit(_record_pattern(shapes)), 0)).otherwise(cut)
     rows = leaf.select("package_id", "component", "page_idx", "ctype", be(F.col("page"), 2, 2).alias("count"), F.posexplode(cut).alias("k", "record")).filter("k < count")
     rows = rows.withColumn("raw", F.encode("record", "ISO-8859-1"))
-    shape = F.lit(None).cast("struct<tag:int,keyed:boolean,before:int,after:int>")
-    for types, shapes in GRAMMARS:
-        for tag, keyed, before, after in shapes:
-            ours = F.col("ctype").isin(types) if tag is None else F.col("ctype").isin(types) & (be(F.col("raw"), 0, 1) == tag)
-            shape = F.when(ours, F.struct(F.lit(tag).cast("int").alias("tag"), F.lit(keyed).alias("keyed"), F.lit(before).alias("before"), F.lit(after).alias("after"))).otherwise(shape)
-    rows = rows.withColumn("s", shape).select("*", "s.*").filter("s is not null")
+    shapes = [(ctype, -1 if tag is None else tag, tag, keyed, before, after) for types, own in GRAMMARS for ctype in types for tag, keyed, before, after in own]
+    known = rows.sparkSession.createDataFrame(shapes, "ctype int, key int, tag int, keyed boolean, before int, after int")  # a table of fixed size
+    untagged = [ctype for types, own in GRAMMARS if own[0][0] is None for ctype in types]
+    key = F.when(F.col("ctype").isin(untagged), -1).otherwise(F.ascii(F.substring("record", 1, 1)))
+    rows = rows.withColumn("key", key).join(F.broadcast(known), ["ctype", "key"])
     lead = F.when(F.col("tag").isNull(), 1).when(F.col("keyed"), 2).otherwise(1)
     rows = rows.withColumn("lead", lead).withColumn("size", F.when(F.col("keyed"), be(F.col("raw"), F.col("lead") - 1, 1).cast("int")).otherwise(0))
     at = F.col("lead") + F.col("before") + F.col("size")
@@ -286,17 +298,20 @@ def page_accounting(pages: DataFrame, leaves: DataFrame) -> DataFrame:
     return met.withColumn("issue", F.when(F.col("read") < F.col("stated"), "short_page"))
 
 
-def doc_nodes(decoded: DataFrame, keys: list[str], deepest: int = 8) -> DataFrame:
+def doc_nodes(decoded: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, node_id, parent_id, kind, tag, text, payload): an entry's spans as a tree, each node with its open tag's node.
 
-    Start tags are nodes; what stands between a start and its end has it as parent, up to
-    `deepest` levels; a span outside all tags has parent 0.
+    Start tags are nodes; what stands between a start and its end has it as parent, at any
+    depth; a span outside all tags has parent 0. A node's parent is the last start of the
+    level above, so starts and the nodes that ask for them meet by entry and level.
     """
-    order = Window.partitionBy(*keys).orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col("role") == "start", 1).when(F.col("role") == "end", -1).otherwise(0)
     rows = clipped_depth(decoded.filter(~F.col("hidden")), keys, ["span"], step, "depth")
-    opened = [F.last(F.when((F.col("role") == "start") & (F.col("depth") == d), F.col("span")), ignorenulls=True).over(order) for d in range(1, deepest + 1)]
-    rows = rows.withColumn("open_", F.array(*opened)).filter((F.col("role").isNull() | (F.col("role") == "start")) & F.col("kind").isin("text", "ascii", "glyph", "break", "media_ref", "section", "control"))
-    level = F.least(F.col("depth") - F.when(F.col("role") == "start", 1).otherwise(0), F.lit(deepest)).cast("int")
-    parent = F.when(level > 0, F.get("open_", level - 1) + 1).otherwise(0)
-    return rows.select(*keys, (F.col("span") + 1).alias("node_id"), F.coalesce(parent, F.lit(0)).cast("int").alias("parent_id"), F.when(F.col("role") == "start", "inline").otherwise(F.col("kind")).alias("kind"), "tag", F.when(F.col("role").isNull(), _shown()).alias("text"), "payload")
+    start = F.coalesce(F.col("role") == "start", F.lit(False))
+    nodes = rows.filter((F.col("role").isNull() | start) & F.col("kind").isin("text", "ascii", "glyph", "break", "media_ref", "section", "control")).withColumn("level", F.col("depth") - F.when(start, 1).otherwise(0))
+    opened = nodes.filter(start).select(*keys, F.col("depth").alias("level"), "span", F.lit(True).alias("opens"))
+    before = Window.partitionBy(*keys, "level").orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
+    met = nodes.withColumn("opens", F.lit(False)).unionByName(opened, allowMissingColumns=True)
+    parent = F.last(F.when(F.col("opens"), F.col("span") + 1), ignorenulls=True).over(before)
+    named = met.withColumn("parent", F.when(F.col("level") > 0, parent)).filter(~F.col("opens"))
+    return named.select(*keys, (F.col("span") + 1).alias("node_id"), F.coalesce("parent", F.lit(0)).cast("int").alias("parent_id"), F.when(start, "inline").otherwise(F.col("kind")).alias("kind"), "tag", F.when(F.col("role").isNull(), _shown()).alias("text"), "payload")

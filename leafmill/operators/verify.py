@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafmill.functions.bytes import BLOCK, be
+from leafmill.staging import scratch
 
 from .streams import LEAF_FLAG
 
@@ -37,15 +38,17 @@ def branch_issues(branches: DataFrame, pages: DataFrame) -> DataFrame:
     return lost.unionByName(after).unionByName(bare)
 
 
-def unreachable(branches: DataFrame, pages: DataFrame, most: int = 8) -> DataFrame:
-    """Pages that no path of at most `most` branch levels from the component's first page reaches."""
+def unreachable(branches: DataFrame, pages: DataFrame) -> DataFrame:
+    """Pages that no path from the component's first page reaches, level by level until nothing new is found; loops end too."""
     keys = ["package_id", "component"]
-    first = pages.groupBy(*keys).agg(F.min("logical_block").alias("logical_block"))
-    reached, edge = first, first
-    for _ in range(most):
-        edge = edge.join(branches, [*keys, "logical_block"]).select(*keys, F.col("child_block").alias("logical_block")).distinct()
+    children = branches.select(*keys, "logical_block", "child_block")
+    edge = scratch(pages.groupBy(*keys).agg(F.min("logical_block").alias("logical_block")), "reached")
+    reached = edge
+    while not edge.isEmpty():
+        below = edge.join(children, [*keys, "logical_block"]).select(*keys, F.col("child_block").alias("logical_block")).distinct()
+        edge = scratch(below.join(reached, [*keys, "logical_block"], "left_anti"), "reached")
         reached = reached.unionByName(edge)
-    return pages.select(*keys, "logical_block").join(reached.distinct(), [*keys, "logical_block"], "left_anti")
+    return pages.select(*keys, "logical_block").join(reached, [*keys, "logical_block"], "left_anti")
 
 
 def scattered_keys(rows: DataFrame) -> DataFrame:

@@ -35,11 +35,13 @@ def clipped_depth(rows: DataFrame, within: str | list[str], order: list[str], st
     return summed.withColumn(name, F.col("sum_") - F.least(F.lit(0), F.min("sum_").over(w))).drop("sum_")
 
 
-def paths(rows: DataFrame, within: str | list[str], order: str, depth: str, label: str, deepest: int) -> DataFrame:
-    """rows with path, the labels of their ancestors and themselves; depths run from 1 to deepest.
+def paths(rows: DataFrame, within: str | list[str], order: str, depth: str, label: str) -> DataFrame:
+    """rows with path, the labels of their ancestors and themselves; depths run from 1 to whatever the rows have.
 
     The ancestor at depth d is the last row at depth d or less; it counts only if it is at d.
+    One aggregate finds the largest depth, as many columns of one window the ancestors.
     """
+    deepest = rows.agg(F.max(depth)).first()[0] or 1
     w = _by(within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     at = [F.last(F.when(F.col(depth) <= d, F.struct(F.col(depth).alias("d"), F.col(label).alias("l"))), ignorenulls=True).over(w) for d in range(1, deepest + 1)]
     named = rows.withColumn("up_", F.array(*at))

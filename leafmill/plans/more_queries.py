@@ -156,7 +156,7 @@ def first_occurrences(t):
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_totalprice > 300000 THEN 'large' WHEN o_orderpriority LIKE '1%' THEN 'urgent' ELSE 'other' END AS role FROM orders
 """)
-def role_assignment(t):
-    """Ordered rules over type and name."""
+def rule_cascade(t):
+    """The first of ordered rules that holds."""
     tests = [("done", F.col("o_orderstatus") == "F"), ("large", F.col("o_totalprice") > 300000), ("urgent", F.col("o_orderpriority").like("1%"))]
     return joins.cascade(t("orders"), tests, "other", "role").select("o_orderkey", "role")

@@ -14,13 +14,13 @@ from leafmill.staging import scratch
 KEYS = ["package_id", "component", "entry_idx"]
 
 
-def _files(t):
+def files_of(t):
     """A package for each brand: its parts' names as headwords, their types and sizes as text."""
     part = t("part").select("p_brand", "p_partkey", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("headword"), F.concat(F.lit("type "), "p_type", F.lit("\nsize "), F.col("p_size").cast("string")).alias("body"))
     return scratch(sink.packages(part, "p_brand", "p_partkey", "headword", "body"), "files")
 
 
-def _chunks(files):
+def chunks_of(files):
     """Expanded chunks, written once: marks, sizes and slices all read them."""
     return scratch(source.chunks(source.components(source.catalogs(files), files)), "chunks")
 
@@ -30,7 +30,7 @@ SELECT p_brand AS package_id, p_name || ' ' || p_partkey AS headword, p_name ||
 """)
 def decode_package(t):
     """Entries of all packages, decoded from their bytes."""
-    expanded = _chunks(_files(t))
+    expanded = chunks_of(files_of(t))
     decoded = streams.spans(source.entries(expanded), KEYS)
     return streams.entry_text(decoded, KEYS).select("package_id", "headword", "text")
 
@@ -40,7 +40,7 @@ SELECT p_brand AS package_id, p_name || ' ' || p_partkey AS heading, '<h3 class=
 """)
 def render_documents(t):
     """Entries of all packages as HTML, with the heading that their index row's title pointer leads to."""
-    expanded = _chunks(_files(t))
+    expanded = chunks_of(files_of(t))
     cut = source.entries(expanded)
     html = streams.entry_html(streams.spans(cut, KEYS), KEYS)
     at = expanded.select("package_id", "component", "ctype", "start_block").distinct()
@@ -60,7 +60,7 @@ SELECT package_id, count(*) AS n FROM hits WHERE starts_with(k, 'REDPLATE') GROU
 """)
 def search_packages(t):
     """Rows of all packages' indexes whose key begins with a term."""
-    expanded = _chunks(_files(t))
+    expanded = chunks_of(files_of(t))
     rows = streams.index_rows(streams.index_leaves(source.pages(expanded.filter(F.col("ctype").isin(source.INDEX_TYPES)))))
     key = F.upper(F.regexp_replace("key", r"\s", ""))
     hits = search.search(rows.select("package_id", "key", "body.block", "body.offset"), "key", "red plate", ["forward"], ["package_id", "block", "offset"], None, key, "REDPLATE")
@@ -73,9 +73,9 @@ SELECT component, status, count(*) AS n FROM (
 """)
 def dereference_packages(t):
     """Index pointers of all packages resolved to the component that holds their block."""
-    files = _files(t)
+    files = files_of(t)
     comps = source.components(source.catalogs(files), files).select("package_id", "idx", "component", "start_block", "end_block")
-    rows = streams.index_rows(streams.index_leaves(source.pages(_chunks(files).filter(F.col("ctype").isin(source.INDEX_TYPES)))))
+    rows = streams.index_rows(streams.index_leaves(source.pages(chunks_of(files).filter(F.col("ctype").isin(source.INDEX_TYPES)))))
     points = rows.select("package_id", F.explode(F.array("body.block", "title.block")).alias("block")).distinct().unionByName(comps.filter("component = 'INDEX.BIN'").select("package_id", F.col("start_block").alias("block")))
     met = joins.first_containing(points, comps, "package_id", "block", "start_block", "end_block", "idx", ["component"], 64)
     status = F.when(F.col("component").isNull(), "unresolved").otherwise("resolved")
@@ -85,13 +85,7 @@ def dereference_packages(t):
 @query()
 def byte_coverage(t):
     """Spans, bytes and issues of each body stream: the bytes are those of the stream, whatever it holds."""
-    expanded = _chunks(_files(t))
+    expanded = chunks_of(files_of(t))
     cut = source.entries(expanded)
     decoded = streams.coverage(streams.spans(cut, KEYS), KEYS)
     return decoded.join(cut.select(*KEYS, (F.col("end") - F.col("start")).alias("length")), KEYS)
-
-
-@query()
-def package_op_counts(t):
-    """Control operators of each component's entries."""
-    return streams.op_counts(streams.spans(source.entries(_chunks(_files(t))), KEYS), ["package_id", "component"])

@@ -26,4 +26,4 @@ def query(sql: str | None = None):
     return add
 
 
-from leafmill.plans import classify_queries, join_queries, more_queries, package_queries, search_queries, sequence_queries, text_queries  # noqa: E402, F401
+from leafmill.plans import classify_queries, domain_queries, join_queries, more_queries, package_queries, search_queries, sequence_queries, text_queries  # noqa: E402, F401

@@ -58,6 +58,19 @@ def search_batch(t):
     return search.search_many(t("part"), "p_name", terms, "term", ["p_partkey"], 20, 5)
 
 
+@query("""
+WITH terms AS (SELECT DISTINCT substr(p_name, 1, 1 + p_size % 7) AS term FROM part WHERE p_size <= 14),
+hits AS (
+  SELECT term, p_name AS matched_key, p_partkey, ROW_NUMBER() OVER (PARTITION BY term ORDER BY p_name, p_partkey) AS hit_id
+  FROM part JOIN terms ON starts_with(p_name, term))
+SELECT term, CAST(hit_id AS INTEGER) AS hit_id, matched_key, p_partkey FROM hits WHERE hit_id <= 20
+""")
+def search_short_terms(t):
+    """Prefixes of one to seven characters looked up in all names."""
+    terms = t("part").filter("p_size <= 14").select(F.expr("substring(p_name, 1, 1 + p_size % 7)").alias("term"))
+    return search.search_many(t("part"), "p_name", terms, "term", ["p_partkey"], 20, 5)
+
+
 @query(f"""
 SELECT doc_id, {NORM_SQL.format("split_part(text, chr(10), 1)")} AS line_key FROM documents WHERE text IS NOT NULL
 """)
@@ -67,7 +80,11 @@ def search_normalized_key(t):
     return docs.select("doc_id", text.ascii_key(F.element_at(F.split("text", "\n"), 1)).alias("line_key"))
 
 
-@query()
+@query(r"""
+WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, translate(regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '[\p{Z}\p{Pd}・･−]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS reader_key,
+  regexp_replace(line, '[\p{Z}\p{P}\p{Cf}]', '', 'g') AS author_key FROM d
+""")
 def search_unicode_key(t):
     """Reader and author lookup keys of every document's first line, with NFKC and Unicode categories."""
     line = F.element_at(F.split("text", "\n"), 1)

@@ -230,7 +230,7 @@ SELECT doc_id, CAST(spent AS BIGINT) AS spent FROM (SELECT doc_id, sum(n_chars)
 def scan_budget(t):
     """Documents in order of id until half of all characters are spent."""
     docs = t("documents").select("doc_id", "n_chars")
-    spent = ranks.running(docs, "doc_id", None, F.col("n_chars"), "spent")
+    spent = ranks.running(docs, "doc_id", None, {"spent": F.col("n_chars")})
     total = docs.agg(F.sum("n_chars")).first()[0] or 0
     return spent.filter(F.col("spent") * 2 <= total).select("doc_id", "spent")
 

@@ -18,7 +18,10 @@ def html_to_plain(t):
     return t("pages").select("page_id", text.without_tags(F.col("html")).alias("body"))
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]*>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS b FROM pages)
+SELECT page_id, replace(replace(replace(replace(b, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&') AS body FROM p
+""")
 def html_to_plain_full(t):
     """Pages without tags and with character references resolved."""
     return t("pages").select("page_id", text.plain_text(F.col("html")).alias("body"))

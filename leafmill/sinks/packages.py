@@ -1,30 +1,51 @@
 """Packages from entries: body, title and index components and a catalog, one row for each file.
 
-A package is built where its entries meet; the format bounds it (65,535 chunks of 32 KiB).
+Entries, index rows, pages and chunks are rows throughout. Where an entry's bytes stand in
+its package is a running sum over all entries; an index row's page is its running size cut
+into equal shares; a chunk gathers the pieces that overlap it and is compressed by itself.
+Only the last step meets a component's chunks, as a file is one value; the format bounds it
+(65,535 chunks of 32 KiB).
 """
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from leafmill.functions.bytes import BLOCK
-from leafmill.sources.packages import CATALOG_MAGIC, CHUNK, COMPONENT_MAGIC, ENTRY_MARK, RECORD
+from leafmill.operators import ranks
+from leafmill.sources.packages import CATALOG_MAGIC, CHUNK, COMPONENT_MAGIC, ENTRY_MARK, RECORD, WINDOW
+from leafmill.staging import scratch
 
 BREAK = b"\x1f\x0a"
 HEAD, HEAD_END = b"\x1f\x41\x00\x00", b"\x1f\x61"
 HALF, HALF_END = b"\x1f\x04", b"\x1f\x05"
 FIRST_BLOCK = 2
+#: The placeholder cell.
+NO_CELL = b"\x22\x2e"
 LEAF, FIRST_SIBLING, LAST_SIBLING = 0x8000, 0x4000, 0x2000
+LONGEST_KEY, LONGEST_COPY = 254, 15
+#: Bytes of records that a leaf page is dealt; with one more record it still holds them.
+SHARE = BLOCK - 4 - (1 + LONGEST_KEY + 12)
+#: Levels that a tree can have: pages hold seven keys at least.
+LEVELS = 12
+#: (component, type, stream) in the order of their blocks.
+PARTS = [("BODY.BIN", 0x00, "body"), ("TITLE.BIN", 0x05, "title"), ("INDEX.BIN", 0x91, "index")]
+
+
+#: Cells of characters met so far; a plain dictionary goes to tasks by value.
+_CELLS: dict[str, bytes] = {}
 
 
-@cache
 def _cell_of(c: str) -> bytes:
-    wide = "　" if c == " " else chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c
-    return wide.encode("iso2022_jp", "replace").removeprefix(b"\x1b$B").removesuffix(b"\x1b(B").ljust(2, b"?")[:2]
+    if c not in _CELLS:
+        wide = "　" if c == " " else "−" if c == "-" else chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c
+        raw = wide.encode("iso2022_jp", "ignore").removeprefix(b"\x1b$B").removesuffix(b"\x1b(B")
+        _CELLS[c] = raw if len(raw) == 2 else NO_CELL
+    return _CELLS[c]
 
 
 def cells(text: str) -> bytes:
@@ -32,28 +53,30 @@ def cells(text: str) -> bytes:
     return b"".join(map(_cell_of, text))
 
 
-def _padded(data: bytes) -> bytes:
-    return data + bytes(-len(data) % BLOCK)
-
-
-def component(data: bytes, start_block: int, kind: int) -> bytes:
-    """A component whose chunks hold their bytes as literals."""
-    data = _padded(data)
-    bodies = []
-    for at in range(0, len(data), CHUNK):
-        part = data[at : at + CHUNK]
-        literal = np.zeros((len(part), 3), np.uint8)
-        literal[:, 2] = np.frombuffer(part, np.uint8)
-        bodies.append(bytes(2) + len(part).to_bytes(2, "big") + bytes(1) + literal.tobytes())
-    head = bytearray(64)
-    head[:8], head[15] = COMPONENT_MAGIC, kind
-    head[0x16:0x18] = len(bodies).to_bytes(2, "big")
-    head[0x18:0x20] = start_block.to_bytes(4, "big") + (start_block + len(data) // BLOCK - 1).to_bytes(4, "big")
-    places, at = [], 64 + 4 * len(bodies)
-    for body in bodies:
-        places.append(at.to_bytes(4, "big"))
-        at += len(body)
-    return bytes(head) + b"".join(places) + b"".join(bodies)
+def compressed(data: bytes) -> bytes:
+    """A chunk as three-byte commands: a copy of up to LONGEST_COPY bytes from the last place where the next three stood, then a literal."""
+    flat = np.frombuffer(data, np.uint8).astype(np.int64)
+    n = len(flat)
+    before, length = np.full(n, -1), np.zeros(n, np.int64)
+    if n > 2:
+        grams = flat[:-2] << 16 | flat[1:-1] << 8 | flat[2:]
+        order = np.argsort(grams, kind="stable")
+        same = grams[order[1:]] == grams[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        at = np.flatnonzero((before >= 0) & (np.arange(n) - before < WINDOW))
+        for k in range(LONGEST_COPY):
+            at = at[at + k < n - 1]  # a literal ends every command
+            at = at[flat[at + k] == flat[before[at] + k]]
+            length[at] += 1
+    starts, at, lens = [], 0, length.tolist()
+    while at < n:
+        starts.append(at)
+        at += lens[at] + 1
+    own = np.array(starts, np.int64)
+    many = length[own]
+    back = np.where(many > 0, (WINDOW - own + before[own]) % WINDOW, 0)
+    commands = np.stack([back >> 4, (back & 15) << 4 | many, flat[own + many]], axis=1).astype(np.uint8)
+    return bytes(2) + len(own).to_bytes(2, "big") + bytes(1) + commands.tobytes()
 
 
 def catalog(title: str, parts: list[tuple[str, int, int, int]]) -> bytes:
@@ -69,73 +92,123 @@ def catalog(title: str, parts: list[tuple[str, int, int, int]]) -> bytes:
     return bytes(head) + records
 
 
-def tree_pages(rows: list[tuple[bytes, bytes]], first_block: int) -> list[bytes]:
-    """Pages of an index tree over sorted (key, record) rows, level by level from the root.
-
-    A branch row has the greatest key below its child; the last row of the last page of a
-    level is a sentinel. The first page of a level and the last are flagged.
-    """
-    leaves, held, size = [], [], 4
-    for row in rows:
-        if held and size + len(row[1]) > BLOCK:
-            leaves.append(held)
-            held, size = [], 4
-        held.append(row)
-        size += len(row[1])
-    leaves.append(held)
-    levels: list[list[list]] = [leaves]
-    highs = [[page[-1][0] if page else b"" for page in leaves]]
-    while len(levels[0]) > 1:
-        width = max(2, min(254, max(map(len, highs[0]))))
-        per_page = (BLOCK - 4) // (width + 4)
-        groups = [list(range(k, min(k + per_page, len(levels[0])))) for k in range(0, len(levels[0]), per_page)]
-        levels.insert(0, groups)
-        highs.insert(0, [highs[0][g[-1]] for g in groups])
-    starts, at = [], first_block
-    for level in levels:
-        starts.append(at)
-        at += len(level)
-    pages = []
-    for depth, level in enumerate(levels):
-        for k, page in enumerate(level):
-            flags = (FIRST_SIBLING if k == 0 else 0) | (LAST_SIBLING if k == len(level) - 1 else 0)
-            if depth == len(levels) - 1:
-                body, word = b"".join(r for _, r in page), LEAF | flags
-            else:
-                width = max(2, min(254, max(map(len, highs[depth + 1]))))
-                final = k == len(level) - 1
-                keys = [b"\xff" * width if final and child == page[-1] else highs[depth + 1][child][:width] for child in page]
-                body, word = b"".join(key.ljust(width, b"\0") + (starts[depth + 1] + child).to_bytes(4, "big") for key, child in zip(keys, page, strict=True)), width | flags
-            pages.append((word.to_bytes(2, "big") + len(page).to_bytes(2, "big") + body).ljust(BLOCK, b"\0"))
-    return pages
-
-
-def build(package_id: str, title: str, entries: list[tuple[str, str]]) -> list[tuple[str, str, bytes]]:
-    """(dir, name, content) of a package of (headword, text) entries, in index order of their headwords."""
-    pointer = lambda first, at: (first + at // BLOCK).to_bytes(4, "big") + (at % BLOCK).to_bytes(2, "big")
-    body, titles, places = b"", b"", []
-    for headword, text in entries:
-        places.append((len(body), len(titles)))
-        lines = [HALF + cells(line) + HALF_END for line in text.split("\n")]
-        body += ENTRY_MARK + HEAD + HALF + cells(headword) + HALF_END + HEAD_END + BREAK + BREAK.join(lines) + BREAK
-        titles += HALF + cells(headword) + HALF_END + BREAK
-    body_at = FIRST_BLOCK
-    title_at = body_at + len(_padded(body)) // BLOCK
-    index_at = title_at + len(_padded(titles)) // BLOCK
-    order = sorted(range(len(entries)), key=lambda k: cells(entries[k][0]))
-    rows = [(key := cells(entries[k][0])[:254], bytes([len(key)]) + key + pointer(body_at, places[k][0]) + pointer(title_at, places[k][1])) for k in order]
-    index = b"".join(tree_pages(rows, index_at))
-    parts = [("BODY.BIN", 0x00, body_at, title_at - 1, body), ("TITLE.BIN", 0x05, title_at, index_at - 1, titles), ("INDEX.BIN", 0x91, index_at, index_at + len(index) // BLOCK - 1, index)]
-    made = [(package_id, name, component(data, first, kind)) for name, kind, first, _, data in parts]
-    return [(package_id, "CATALOG.IDX", catalog(title, [p[:4] for p in parts])), *made]
+def component_file(chunks: list[bytes], first: int, last: int, kind: int) -> bytes:
+    """A component of compressed chunks: its header, the places of the chunks, and the chunks."""
+    head = bytearray(64)
+    head[:8], head[15] = COMPONENT_MAGIC, kind
+    head[0x16:0x18] = len(chunks).to_bytes(2, "big")
+    head[0x18:0x20] = first.to_bytes(4, "big") + last.to_bytes(4, "big")
+    ends = np.cumsum([64 + 4 * len(chunks)] + [len(c) for c in chunks])
+    return bytes(head) + ends[:-1].astype(">u4").tobytes() + b"".join(chunks)
+
+
+def _number(value: Column, n: int) -> Column:
+    """An integer as n big-endian bytes."""
+    return F.unhex(F.lpad(F.hex(value.cast("long")), 2 * n, "0"))
+
+
+def _end_to_end(parts: Column, field: str) -> Column:
+    """The binary fields of sorted structs, one after the other."""
+    return F.encode(F.array_join(F.transform(parts, lambda p: F.decode(p[field], "ISO-8859-1")), ""), "ISO-8859-1")
+
+
+def _encoded(entries: DataFrame, package: str, order: str, headword: str, text: str) -> DataFrame:
+    """(package, order, key, body, title): the bytes of each entry."""
+
+    def run(batches):
+        for batch in batches:
+            keys, bodies, titles = [], [], []
+            for head, lines in zip(batch.column("headword").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                named = cells(head or "")
+                shown = BREAK.join(HALF + cells(line) + HALF_END for line in (lines or "").split("\n"))
+                keys.append(named[:LONGEST_KEY])
+                bodies.append(ENTRY_MARK + HEAD + HALF + named + HALF_END + HEAD_END + BREAK + shown + BREAK)
+                titles.append(HALF + named + HALF_END + BREAK)
+            yield pa.RecordBatch.from_arrays([batch.column("package"), batch.column("order"), *(pa.array(x, pa.binary()) for x in (keys, bodies, titles))], names=["package", "order", "key", "body", "title"])
+
+    rows = entries.select(F.col(package).cast("string").alias("package"), F.col(order).alias("order"), F.col(headword).alias("headword"), F.col(text).alias("text"))
+    kind = rows.schema["order"].dataType.simpleString()
+    return rows.mapInArrow(run, f"package string, order {kind}, key binary, body binary, title binary")
+
+
+def _placed(rows: DataFrame, order: list[str], sizes: dict[str, Column]) -> DataFrame:
+    """rows with the place of each value within its package, in the given order: running sums over all rows less those of the packages before."""
+    summed = ranks.running(rows, ["package", *order], None, sizes).withColumns({f"before_{name}": F.col(name) - n for name, n in sizes.items()})
+    bases = summed.groupBy("package").agg(*[F.min(f"before_{name}").alias(f"base_{name}") for name in sizes])
+    met = summed.join(bases, "package")
+    return met.select(*rows.columns, *[(F.col(f"before_{name}") - F.col(f"base_{name}")).alias(name) for name in sizes])
+
+
+def _tree(leaves: DataFrame) -> DataFrame:
+    """(package, width, per, p0 ...): bytes of a branch key, rows of a branch page, pages of each level from the leaves up; null above the root."""
+    made = leaves.groupBy("package").agg((F.max("page") + 1).cast("long").alias("p0"), F.greatest(F.lit(2), F.max(F.octet_length("high"))).alias("width"))
+    made = made.withColumn("per", F.floor((BLOCK - 4) / (F.col("width") + 4)))
+    for k in range(1, LEVELS):
+        made = made.withColumn(f"p{k}", F.when(F.col(f"p{k - 1}") > 1, F.ceil(F.col(f"p{k - 1}") / F.col("per"))))
+    return made
+
+
+def _index_pages(rows: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((package, place, bytes) of all pages, root first, and sizes with index_pages) from (package, key, order, record)."""
+    dealt = _placed(rows, ["key", "order"], {"at": F.octet_length("record")}).withColumn("page", F.floor(F.col("at") / SHARE))
+    sorted_rows = F.array_sort(F.collect_list(F.struct("key", "order", "record")))
+    leaves = scratch(dealt.groupBy("package", "page").agg(sorted_rows.alias("r")).select("package", "page", F.element_at("r", -1)["key"].alias("high"), F.size("r").alias("n"), _end_to_end(F.col("r"), "record").alias("body")), "leaves")
+    tree = _tree(leaves)
+    upper = lambda k: sum((F.coalesce(F.col(f"p{j}"), F.lit(0)) for j in range(k + 1, LEVELS)), F.lit(0))
+    tree = scratch(tree.select("*", upper(-1).alias("index_pages"), *[upper(k).alias(f"s{k}") for k in range(LEVELS)]).join(sizes, "package"), "tree")
+    tallest = tree.agg(*[F.max(f"p{k}") for k in range(LEVELS)]).first()
+    made, level = None, leaves
+    for k in range(sum(x is not None for x in tallest)):
+        own = level.join(tree, "package")
+        flags = F.when(F.col("page") == 0, FIRST_SIBLING).otherwise(0) + F.when(F.col("page") == F.col(f"p{k}") - 1, LAST_SIBLING).otherwise(0)
+        word = (F.lit(LEAF) if k == 0 else F.col("width")) + flags
+        page = F.concat(_number(word, 2), _number(F.col("n"), 2), F.col("body"))
+        written = own.select("package", ((F.col(f"s{k}") + F.col("page")) * BLOCK).alias("place"), page.alias("page")).select("package", "place", F.expr(f"rpad(page, {BLOCK}, X'00')").alias("bytes"))
+        made = written if made is None else made.unionByName(written)
+        # The last row of a level is a sentinel; the others have the greatest key below their child.
+        last = F.col("page") == F.col(f"p{k}") - 1
+        row = own.filter(F.col(f"p{k + 1}").isNotNull()).withColumn("key", F.when(last, F.expr("unhex(repeat('FF', width))")).otherwise(F.expr("rpad(high, width, X'00')")))
+        entry = F.concat("key", _number(F.col("index_at") + F.col(f"s{k}") + F.col("page"), 4))
+        grouped = row.select("package", F.floor(F.col("page") / F.col("per")).alias("parent"), "page", "high", entry.alias("entry")).groupBy("package", "parent").agg(F.array_sort(F.collect_list(F.struct("page", "high", "entry"))).alias("r"))
+        level = grouped.select("package", F.col("parent").alias("page"), F.element_at("r", -1)["high"].alias("high"), F.size("r").alias("n"), _end_to_end(F.col("r"), "entry").alias("body"))
+    return made, tree.select("package", "title_at", "index_at", "index_pages")
 
 
 def packages(entries: DataFrame, package: str, order: str, headword: str, text: str) -> DataFrame:
-    """(dir, name, content): the files of a package for each group of entries."""
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        name = str(group[package].iloc[0])
-        return pd.DataFrame(build(name, name, list(zip(group[headword], group[text], strict=True))), columns=["dir", "name", "content"])
-
-    return entries.groupBy(package).applyInPandas(one, "dir string, name string, content binary")
+    """(dir, name, content): the files of a package for each group of entries; `order` is unique within its package."""
+    sized = {"body_place": F.octet_length("body"), "title_place": F.octet_length("title")}
+    placed = scratch(_placed(_encoded(entries, package, order, headword, text), ["order"], sized), "placed")
+    blocks = lambda stream: F.ceil(F.max(F.col(f"{stream}_place") + F.octet_length(stream)) / BLOCK)
+    sizes = placed.groupBy("package").agg(blocks("body").alias("b"), blocks("title").alias("t")).select("package", (F.col("b") + FIRST_BLOCK).alias("title_at"), (F.col("b") + F.col("t") + FIRST_BLOCK).alias("index_at"))
+    point = lambda first, at: F.concat(_number(first + F.floor(at / BLOCK), 4), _number(at % BLOCK, 2))
+    record = F.concat(_number(F.octet_length("key"), 1), F.col("key"), point(F.lit(FIRST_BLOCK), F.col("body_place")), point(F.col("title_at"), F.col("title_place")))
+    pages, sizes = _index_pages(placed.join(sizes, "package").select("package", "key", "order", record.alias("record")), sizes)
+    pieces = pages.select("package", F.lit("index").alias("stream"), "place", "bytes")
+    for stream in ("body", "title"):
+        pieces = pieces.unionByName(placed.select("package", F.lit(stream).alias("stream"), F.col(f"{stream}_place").alias("place"), F.col(stream).alias("bytes")))
+    end = F.col("place") + F.octet_length("bytes")
+    spread = pieces.withColumn("chunk_idx", F.explode(F.sequence(F.floor(F.col("place") / CHUNK), F.floor((end - 1) / CHUNK))))
+    low = F.greatest(F.col("place"), F.col("chunk_idx") * CHUNK)
+    part = F.substr("bytes", (low - F.col("place") + 1).cast("int"), (F.least(end, (F.col("chunk_idx") + 1) * CHUNK) - low).cast("int"))
+    gathered = spread.select("package", "stream", "chunk_idx", low.alias("low"), part.alias("part")).groupBy("package", "stream", "chunk_idx").agg(F.array_sort(F.collect_list(F.struct("low", "part"))).alias("parts"))
+    raw = gathered.select("package", "stream", "chunk_idx", _end_to_end(F.col("parts"), "part").alias("raw")).withColumn("raw", F.expr(f"rpad(raw, cast(ceil(octet_length(raw) / {BLOCK}) * {BLOCK} as int), X'00')"))
+
+    def squeezed(chunks: pd.Series) -> pd.Series:
+        return chunks.map(compressed)
+
+    packed = raw.select("package", "stream", "chunk_idx", F.pandas_udf(squeezed, "binary")(F.col("raw")).alias("packed"))
+    listed = packed.groupBy("package", "stream").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "packed"))), lambda c: c["packed"]).alias("chunks")).join(sizes, "package")
+    first = F.when(F.col("stream") == "body", FIRST_BLOCK).when(F.col("stream") == "title", F.col("title_at")).otherwise(F.col("index_at")).cast("long")
+    last = F.when(F.col("stream") == "body", F.col("title_at")).when(F.col("stream") == "title", F.col("index_at")).otherwise(F.col("index_at") + F.col("index_pages")).cast("long") - 1
+    kind, name = (F.create_map(*[F.lit(x) for p in PARTS for x in (p[2], p[k])])[F.col("stream")] for k in (1, 0))
+
+    def filed(chunks: pd.Series, first: pd.Series, last: pd.Series, kind: pd.Series) -> pd.Series:
+        return pd.Series([component_file([bytes(c) for c in cs], int(a), int(b), int(k)) for cs, a, b, k in zip(chunks, first, last, kind, strict=True)])
+
+    def listed_parts(title: pd.Series, title_at: pd.Series, index_at: pd.Series, index_pages: pd.Series) -> pd.Series:
+        edges = zip(title, title_at, index_at, index_at + index_pages, strict=True)
+        return pd.Series([catalog(name, [(PARTS[0][0], PARTS[0][1], FIRST_BLOCK, a - 1), (PARTS[1][0], PARTS[1][1], a, b - 1), (PARTS[2][0], PARTS[2][1], b, c - 1)]) for name, a, b, c in edges])
+
+    made = listed.select(F.col("package").alias("dir"), name.alias("name"), F.pandas_udf(filed, "binary")(F.col("chunks"), first, last, kind).alias("content"))
+    cats = sizes.select(F.col("package").alias("dir"), F.lit("CATALOG.IDX").alias("name"), F.pandas_udf(listed_parts, "binary")("package", *[F.col(c).cast("long") for c in ("title_at", "index_at", "index_pages")]).alias("content"))
+    return made.unionByName(cats)

@@ -38,6 +38,19 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return read.select(cut[0].alias("dir"), cut[1].alias("name"), "content").filter(~F.col("name").rlike(NOISE))
 
 
+def targets(found: DataFrame, prefix: str = "") -> DataFrame:
+    """(package_id, family, dir) of package folders (dir, family), once each, in order; a catalog inside a folder that a viewer has claimed is left out.
+
+    The id is the folder's name without the prefix. A claim is looked up by each of a folder's own ancestors.
+    """
+    parts = F.split("dir", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    claims = found.filter("family = 'multi_view'").select(F.col("dir").alias("above")).distinct()
+    inside = found.filter("family = 'catalog'").select("dir", F.explode(above).alias("above")).join(claims, "above").select("dir").distinct().withColumn("family", F.lit("catalog"))
+    named = found.join(inside, ["dir", "family"], "left_anti").distinct().withColumn("package_id", F.regexp_replace(F.element_at(parts, -1), "^" + prefix, ""))
+    return named.select("package_id", "family", "dir").orderBy("package_id", "family", "dir")
+
+
 def name_collisions(listed: DataFrame) -> DataFrame:
     """(dir, folded, names) of names in a folder that differ in case only."""
     return listed.groupBy("dir", F.lower("name").alias("folded")).agg(F.array_sort(F.collect_set("name")).alias("names")).filter(F.size("names") > 1)
@@ -158,15 +171,16 @@ def pages(expanded: DataFrame) -> DataFrame:
 def marks(expanded: DataFrame, mark: bytes, lead: bytes = b"") -> DataFrame:
     """(package_id, component, start): places of a mark, those across two chunks too; a lead before it counts with it.
 
-    Each chunk is seen with the last bytes of the one before and the first of the next.
+    Each chunk is joined to the last bytes of the one before and the first of the next, so no
+    component is put into one task.
     """
     key = ["package_id", "component"]
-    w = Window.partitionBy(*key).orderBy("chunk_idx")
     edge = len(mark) + len(lead) - 1
-    tail = F.coalesce(F.lag(F.expr(f"right(decode(bytes, 'ISO-8859-1'), {len(lead)})")).over(w), F.lit("")) if lead else F.lit("")
     body = F.decode("bytes", "ISO-8859-1")
-    head = F.coalesce(F.lead(F.substring(body, 1, edge)).over(w), F.lit(""))
-    rows = expanded.select(*key, "chunk_idx", tail.alias("tail"), body.alias("body"), head.alias("head"))
+    rows = expanded.select(*key, "chunk_idx", body.alias("body"))
+    heads = expanded.select(*key, (F.col("chunk_idx") - 1).alias("chunk_idx"), F.substring(body, 1, edge).alias("head"))
+    tails = expanded.select(*key, (F.col("chunk_idx") + 1).alias("chunk_idx"), (F.expr(f"right(decode(bytes, 'ISO-8859-1'), {len(lead)})") if lead else F.lit("")).alias("tail"))
+    rows = rows.join(heads, [*key, "chunk_idx"], "left").join(tails, [*key, "chunk_idx"], "left").fillna("", ["head", "tail"])
     # A mark that begins in this chunk: its end lies at most len(mark) - 1 bytes into the next.
     text = F.concat("tail", "body", F.substring("head", 1, len(mark) - 1))
     quoted = "\\Q" + mark.decode("latin-1") + "\\E"

@@ -168,14 +168,40 @@ def selectors(files: DataFrame) -> DataFrame:
     return made.join(labels, keys, "left").withColumn("label", F.coalesce("label", F.lit("")))
 
 
-def aux_index(lines: DataFrame, deepest: int = 16) -> DataFrame:
+def ini_values(lines: DataFrame, section: str) -> DataFrame:
+    """(package_id, name, key, value) of a section's lines `key=value` or `key:value`; comments go, a repeated key keeps its last value."""
+    order = Window.partitionBy("package_id", "name").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("line", F.trim("line")).withColumn("section", F.last(F.nullif(F.regexp_extract("line", r"^\[([^\]]*)\]", 1), F.lit("")), ignorenulls=True).over(order))
+    own = rows.filter((F.col("section") == section) & ~F.col("line").rlike(r"^([#;\[]|$)") & F.col("line").rlike("[=:]"))
+    key, value = F.trim(F.regexp_extract("line", r"^([^=:]*)[=:]", 1)), F.trim(F.regexp_extract("line", r"^[^=:]*[=:](.*)$", 1))
+    return own.groupBy("package_id", "name", key.alias("key")).agg(F.max_by(value, "line_no").alias("value"))
+
+
+def aux_specs(values: DataFrame, listed: DataFrame) -> DataFrame:
+    """(package_id, k, title, info, file) of the auxiliary indexes that IDXCOUNT, IDXNAMEn and IDXINFOn name; file is found without regard to case.
+
+    The first takes IDXTITLE where it has no name; without a count IDXINFO alone makes one.
+    """
+    per = values.groupBy("package_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("v"))
+    of = lambda name: F.coalesce(F.try_element_at("v", name if not isinstance(name, str) else F.lit(name)), F.lit(""))
+    n = F.coalesce(F.trim(of("IDXCOUNT")).try_cast("int"), F.lit(0))
+    single = (n <= 0) & (of("IDXINFO") != "")
+    rows = per.withColumn("k", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).when(single, F.array(F.lit(0))).otherwise(F.expr("cast(array() as array<int>)"))))
+    numbered = lambda name: of(F.concat(F.lit(name), F.col("k").cast("string")))
+    title = F.when((F.col("k") == 0) & (numbered("IDXNAME") == ""), of("IDXTITLE")).otherwise(numbered("IDXNAME"))
+    made = rows.select("package_id", "k", title.alias("title"), F.when(single, of("IDXINFO")).otherwise(numbered("IDXINFO")).alias("info"))
+    there = listed.groupBy(F.col("dir").alias("package_id"), F.lower("name").alias("folded")).agg(F.min("name").alias("file"))
+    return made.withColumn("folded", F.lower("info")).join(there, ["package_id", "folded"], "left").drop("folded")
+
+
+def aux_index(lines: DataFrame) -> DataFrame:
     """(package_id, name, line_no, block, offset, depth, label, path) of lines `hex8 TAB hex8 TAB ... label`; the depth is the label's tab."""
     parts = F.split("line", "\t")
     labels = F.filter(F.transform(F.slice(parts, F.lit(3), F.size(parts)), lambda x, k: F.struct((k + 1).alias("depth"), x.alias("label"))), lambda e: e["label"] != "")
     rows = lines.filter(F.col("line").rlike("^[0-9A-Fa-f]{8}\t[0-9A-Fa-f]{8}\t.*[^\t\r\n]")).withColumn("last", F.element_at(labels, -1)).filter("last is not null")
     number = lambda k: F.conv(F.element_at(parts, k), 16, 10).cast("long")
     made = rows.select("package_id", "name", "line_no", number(1).alias("block"), number(2).alias("offset"), F.col("last.depth").alias("depth"), unescaped(F.col("last.label")).alias("label"))
-    return paths(made, ["package_id", "name"], "line_no", "depth", "label", deepest)
+    return paths(made, ["package_id", "name"], "line_no", "depth", "label")
 
 
 def text_lines(files: DataFrame, charset: str = "utf-8") -> DataFrame:

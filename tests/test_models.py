@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from leafmill.operators import models, streams
-from leafmill.sinks import packages as sink
+from tests import whole as sink
 from leafmill.sources import packages as source
 from leafmill.streaming import packages as streaming
 

@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions import bytes as binary
-from leafmill.functions import text
-from leafmill.operators import aggregates, classify, diff, joins, ranks, search, windows
+from leafmill.functions import lookup, text
+from leafmill.operators import aggregates, classify, diff, joins, ranks, render, search, streams, windows
 from leafmill.plans import package_queries
-from leafmill.sinks import reports
+from leafmill.sinks import markup, reports
 
 
 def rows(df, *cols):
@@ -82,8 +82,7 @@ def test_nearest_ties_and_tolerance(spark):
     assert rows(got, "key", "ord", "distance") == [(1, 7, 4), (2, None, None), (3, None, None)]
 
 
-def test_ranks_are_those_of_one_sort(spark, monkeypatch):
-    monkeypatch.setattr(ranks, "CUTS", 5)
+def test_ranks_are_those_of_one_sort(spark):
     df = spark.createDataFrame([(k * 7 % 50, k) for k in range(120)], "a long, b long").repartition(6)
     got = {(r["a"], r["b"]): r["rank"] for r in ranks.with_rank(df, "a", [F.col("b")]).collect()}
     assert got == {key: k + 1 for k, key in enumerate(sorted((k * 7 % 50, k) for k in range(120)))}
@@ -187,3 +186,81 @@ def test_entropy_and_samples(spark):
     df = spark.createDataFrame(pd.DataFrame({"k": ["a"] * 4, "v": [1, 1, 2, 2], "o": [3, 1, 2, 0]}))
     assert aggregates.entropy(df, "k", "v").first()["entropy"] == pytest.approx(1.0)
     assert rows(aggregates.samples(df, "k", ["o"], 2), "o", "place") == [(0, 1), (1, 2)]
+
+
+def test_many_ties_spread_and_rank(spark):
+    df = spark.createDataFrame([(1, k) for k in range(300)] + [(0, 7)], "a long, b long").repartition(5)
+    got = {(r["a"], r["b"]): r["rank"] for r in ranks.with_rank(df, "a", [F.col("b")]).collect()}
+    assert got == {(0, 7): 1} | {(1, k): k + 2 for k in range(300)}
+
+
+def test_terms_of_any_length(spark):
+    data = spark.createDataFrame([(k, n) for k, n in enumerate(["a", "ab", "abc", "abcd", "b", "bcde", ""])], "id int, name string")
+    terms = spark.createDataFrame([("",), ("a",), ("ab",), ("abc",), ("abcd",), ("z",), (None,)], "t string")
+    got = {(r["term"], r["id"]) for r in search.search_many(data, "name", terms, "t", ["id"], 3, 3).collect()}
+    names = {k: n for k, n in enumerate(["a", "ab", "abc", "abcd", "b", "bcde", ""])}
+    want = {(t, k) for t in ("", "a", "ab", "abc", "abcd", "z") for k in sorted((k for k, n in names.items() if n.startswith(t)), key=lambda k: (names[k], k))[:3]}
+    assert got == want
+
+
+def test_key_candidates():
+    cell = lambda s: s.encode("iso2022_jp")[3:-3]
+    assert lookup.key_candidates("a-b") == [b"a-b", cell("ａ−ｂ"), b"AB", cell("ＡＢ")]  # the full-width hyphen has no cell of its own
+    assert lookup.key_candidates("ab", backward=True)[0] == b"ba"
+    assert cell("きやつと") in lookup.key_candidates("きゃっと")
+    assert lookup.key_candidates(" ") == []
+
+
+def test_predicates(spark):
+    cases = [("", True), ("<section:0001> <media:00ff>", True), ("0123abcd", True), ("0123ab\n4567cd", True), ("QUJDREVG==", True), ("word of text", False), (None, True), ("abc", False), ("<section:0001>x y", False)]
+    df = spark.createDataFrame([c[:1] for c in cases], "b string")
+    assert [r[0] for r in df.select(lookup.useless_body(F.col("b"))).collect()] == [c[1] for c in cases]
+    shown = [("é", True), ("a", False), ("ab", True), ("a b", False), ("", False), (None, False), ("漢", True), ("\u3000", False), ("\x01", False)]
+    df = spark.createDataFrame([s[:1] for s in shown], "d string")
+    assert [r[0] for r in df.select(lookup.informative_display(F.col("d"))).collect()] == [s[1] for s in shown]
+    missing = [("é", "", 1, True), ("é", "e", 1, False), ("漢", None, 1, False), ("é", "", 0, False), ("♪", None, 2, True), ("𠀋", None, 1, True), ("a\u0301", None, 1, True), (None, None, 1, False)]
+    df = spark.createDataFrame([m[:3] for m in missing], "d string, f string, n int")
+    assert [r[0] for r in df.select(lookup.search_fallback_missing(F.col("d"), F.col("f"), F.col("n"))).collect()] == [m[3] for m in missing]
+    columns = [("x", "varchar(9)", True), ("f_HTML", "BLOB", True), ("x", "INTEGER", False), ("title", None, True)]
+    df = spark.createDataFrame([c[:2] for c in columns], "n string, t string")
+    assert [r[0] for r in df.select(lookup.text_column(F.col("n"), F.col("t"))).collect()] == [c[2] for c in columns]
+    names = spark.createDataFrame([("X_ab",), ("AB",), ("cd",)], "n string")
+    assert [r[0] for r in lookup.selected(names, "n", ["x_AB"], "X_").collect()] == ["X_ab", "AB"] and lookup.selected(names, "n", []).count() == 3
+    texts = spark.createDataFrame([("10",), ("9",), ("x",), ("2b",)], "t string")
+    assert [r[0] for r in texts.orderBy(*lookup.by_number(["t"])).collect()] == ["x", "2b", "9", "10"]
+
+
+def test_markup_becomes_body_bytes_and_text(spark):
+    rows = [("<p>One <b>two</b></p><ul><li>a<li>b &amp; c</ul>", "One two\n・a\n・b & c"), ("x<br/><br/>y<img alt='pic'>", "x\ny［pic］"), ("<i>open", "open"), ("", "")]
+    df = spark.createDataFrame([("p", "B", k, h) for k, (h, _) in enumerate(rows)], "package_id string, component string, entry_idx int, h string")
+    keys = ["package_id", "component", "entry_idx"]
+    made = df.withColumn("bytes", markup.html_body(F.col("h"))).drop("h")
+    decoded = streams.spans(made, keys)
+    assert decoded.filter("issue is not null").count() == 0
+    got = {r["entry_idx"]: r["text"] for r in streams.entry_text(decoded, keys).collect()}
+    assert {k: got.get(k, "") for k in range(4)} == {k: narrow for k, (_, narrow) in enumerate(rows)}
+    tree = '{"type": "structured-content", "content": [{"tag": "div", "content": ["a", {"tag": "b", "content": "b"}]}, {"type": "image", "path": "p.png"}, 5]}'
+    body = spark.createDataFrame([("p", "B", 0, tree)], "package_id string, component string, entry_idx int, h string").withColumn("bytes", markup.structured_body(F.col("h"))).drop("h")
+    assert streams.entry_text(streams.spans(body, keys), keys).first()["text"] == "ab\n［p.png］5"
+    values = [('{"displayValue": null, "value": ["a", {"x": 1, "b": 2}]}', 'a, {"b":2,"x":1}'), ('"x  y"', "x y"), ("null", ""), ("not json", "not json"), ("true", "True"), ("3", "3")]
+    got = spark.createDataFrame([v[:1] for v in values], "v string").select(markup.scalar_text(F.col("v"))).collect()
+    assert [r[0] for r in got] == [v[1] for v in values]
+
+
+def test_rendering_profiles_and_policies(spark):
+    keys = ["package_id", "component", "entry_idx"]
+    data = b"\x1f\x41\x00\x00\x1f\x04\x23\x68\x1f\x05\x1f\x61\x1f\x0a\x1f\x04\x23\x61\x1f\x05\x1f\x10\xa1\x21\x1f\x11\xb1\x21\x1f\x0a\x1f\x0a\x1f\x99"
+    df = spark.createDataFrame([("p", "B", 1, bytearray(data))], "package_id string, component string, entry_idx int, bytes binary")
+    shown = spark.createDataFrame([("p", "a121", "é")], "package_id string, code string, display string")
+    decoded = streams.spans(df, keys, glyphs=shown)
+    known = spark.createDataFrame([("p", "b121", "formatting_helper")], "package_id string, code string, status string")
+    html = lambda *a: render.html(decoded, keys, *a, glyphs=known).first()["html"]
+    assert html("friendly") == '<article class="entry profile-friendly" data-render-profile="friendly"><h3 class="heading">h</h3><p class="paragraph">a<i><span class="glyph">é</span></i><span class="glyph helper" aria-hidden="true"></span></p></article>'
+    assert '<span class="inline text">a</span><i class="inline inline-italic"><span class="inline glyph" data-kind="glyph">é</span></i>' in html("semantic")
+    assert '<p class="reader-line">a<i class="reader-italic"><span class="reader-glyph">é</span></i>' in html("reader")
+    assert 'data-code="a121" data-resource-id="glyph-a121" data-status="">&lt;hA121&gt;</span>' in html("debug")
+    assert '<span class="glyph resource" data-resource-id="glyph-a121">é</span>' in html("friendly", "bitmap_preferred") and '"glyph-a121">□</span>' in html("friendly", "bitmap_only")
+    text = lambda p: render.text(decoded, keys, p, glyphs=known).first()["text"]
+    assert [text(p) for p in render.POLICIES] == ["h\naé", "h\naé", "h\na□", "h\na□", "h\na<hA121><hB121>"]
+    modes = spark.createDataFrame([("a121", None), ("b121", None), ("b122", "x")], "c string, r string")
+    assert [[r[0] for r in modes.select(render.glyph_by_mode(F.col("c"), F.col("r"), m)).collect()] for m in ("drop", "h-placeholder", "placeholder")] == [["", "", "x"], ["<hA121>", "", "x"], ["<hA121>", "<zB121>", "x"]]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text
 from leafmill.operators import glyphs, media, menus, streams, verify
-from leafmill.sinks import packages as sink
+from tests import whole as sink
 from leafmill.sources import packages as source
 from leafmill.sources import reports, resources, sqlite
 
@@ -211,3 +211,66 @@ def test_reports_and_assets(spark, tmp_path):
     assert {(r["stem"], r["theme"], r["kind"]) for r in found.collect()} == {("icon", "dark", "image"), ("icon", "light", "image"), ("main", None, "template")}
     assert {(r["kind"], r["n"], r["themed"]) for r in reports.asset_counts(found).collect()} == {("image", 2, 2), ("template", 1, 0)}
     assert [(r["label"], r["href"]) for r in reports.menu_items(listed).orderBy("k").collect()] == [("A", "x.html"), ("B", "#b")]
+
+
+def test_unreachable_in_deep_trees_and_loops(spark):
+    chain = [("p", "I", k, 1, "AA", k + 1, False) for k in range(1, 30)] + [("p", "I", 30, 1, "AA", 1, False)]
+    branches = spark.createDataFrame(chain, "package_id string, component string, logical_block long, row_idx int, key_hex string, child_block long, last_sibling boolean")
+    pages = spark.createDataFrame([("p", "I", k) for k in (*range(1, 31), 99)], "package_id string, component string, logical_block long")
+    assert [r["logical_block"] for r in verify.unreachable(branches, pages).collect()] == [99]
+
+
+def test_index_paths_of_twenty_levels(spark):
+    rows = [("p", "a.idx", k + 1, f"{k:08x}\t00000001" + "\t" * (k + 1) + f"L{k}") for k in range(20)]
+    got = resources.aux_index(spark.createDataFrame(rows, "package_id string, name string, line_no int, line string")).orderBy("line_no").collect()
+    assert got[-1]["path"] == [f"L{k}" for k in range(20)] and got[0]["path"] == ["L0"]
+
+
+def test_index_specs_and_statistics(spark):
+    text = "[GENERAL]\n;c\nIDXCOUNT=2\nIDXTITLE=First\nIDXINFO0=A.TXT\nIDXNAME1: Second\nIDXINFO1=b.txt\n[OTHER]\nIDXCOUNT=9\n"
+    lines = spark.createDataFrame([("p", "EXINFO.INI", k, line) for k, line in enumerate(text.split("\n"))], "package_id string, name string, line_no int, line string")
+    listed = spark.createDataFrame([("p", "a.txt")], "dir string, name string")
+    got = resources.aux_specs(resources.ini_values(lines, "GENERAL"), listed).orderBy("k").collect()
+    assert [(r["k"], r["title"], r["info"], r["file"]) for r in got] == [(0, "First", "A.TXT", "a.txt"), (1, "Second", "b.txt", None)]
+    rows = spark.createDataFrame([("p", 1, 1, 5, 0), ("p", 2, 2, 0, 0), ("p", 3, 2, 0x30000000, 0xFFFF), ("p", 4, 1, 99, 1)], "package_id string, line_no int, depth int, block long, offset int")
+    comps = spark.createDataFrame([("p", 0, "BODY", 2, 9)], "package_id string, idx int, component string, start_block long, end_block long")
+    found = {(r["family"], r["key"]): r["n"] for r in menus.index_statistics(rows, comps, ["package_id"]).collect()}
+    assert found == {("depth", "1"): 2, ("depth", "2"): 2, ("target", "component"): 1, ("target", "null"): 1, ("target", "selector"): 1, ("target", "none"): 1, ("component", "BODY"): 1, ("pointer", "zero"): 1, ("row", "leaf"): 3}
+
+
+def test_audio_headers_and_files(spark, tmp_path):
+    fmt = b"fmt " + (16).to_bytes(4, "little") + (1).to_bytes(2, "little") + (2).to_bytes(2, "little") + (8000).to_bytes(4, "little") + (32000).to_bytes(4, "little") + (4).to_bytes(2, "little") + (16).to_bytes(2, "little")
+    chunks = b"LIST" + (3).to_bytes(4, "little") + b"abc\0" + fmt + b"data" + (4).to_bytes(4, "little") + b"\1\2\3\4"
+    mp3 = b"\xff\xfb\x90\xc0" + bytes(40)
+    rows = [(1, "a b.wav", chunks), (2, "a b.wav", mp3), (3, None, b"\x89PNG\r\n\x1a\n"), (4, "..", b"?"), (5, "x", None)]
+    df = spark.createDataFrame([("p", k, n, bytearray(d) if d is not None else None) for k, n, d in rows], "package_id string, number int, name string, payload binary")
+    heads = {r["number"]: r["h"] for r in df.select("number", media.audio_header(F.col("payload")).alias("h")).collect()}
+    assert tuple(heads[1]) == ("wave_chunks", 2, 8000, 16, 44, 4)
+    assert tuple(heads[2])[:3] == ("mp3", 1, 44100) and heads[3]["kind"] is None and heads[5]["kind"] is None
+    wrapped = df.filter("number = 1").select(media.riff_wrapped(F.col("payload")).alias("w"))
+    assert tuple(wrapped.select(media.wave_format(F.col("w")).alias("f")).first()["f"])[:3] == (2, 8000, 16)
+    named = media.file_names(df.filter("payload is not null"), ["package_id"], "number", "name", "payload")
+    assert {r["number"]: r["file_name"] for r in named.collect()} == {1: "a_b.wav", 2: "00002_a_b.wav", 3: "media_3.png", 4: "media_4.bin"}
+    written = media.write_files(named, tmp_path.as_uri(), "package_id")
+    assert written.count() == 4 and (tmp_path / "p" / "a_b.wav").read_bytes() == chunks
+
+
+def test_referenced_ranges_across_chunks(spark):
+    body = bytes(k * 7 % 251 for k in range(3 * 32768))
+    chunks = spark.createDataFrame([("p", 3, k, bytearray(body[k * 32768 : (k + 1) * 32768])) for k in range(3)], "package_id string, start_block long, chunk_idx int, bytes binary")
+    wanted = [(3, 0, 10), (3, 2000, 100), (18, 2000, 5000), (19, 0, 32768 + 7), (300, 0, 4)]
+    refs = spark.createDataFrame([("p", *w) for w in wanted], "package_id string, start_block long, start_offset int, size long")
+    got = {(r["start_block"], r["start_offset"]): r["bytes"] for r in media.referenced(refs, chunks).collect()}
+    for block, offset, size in wanted:
+        at = (block - 3) * 2048 + offset
+        assert got[block, offset] == (bytearray(body[at : at + size]) if block < 300 else None)
+
+
+def test_glyph_bitmaps(spark):
+    row = spark.createDataFrame([(9, 2, bytearray(b"\x80\x00\x00\x80"))], "w int, h int, g binary").select(media.glyph_bmp(F.col("w"), F.col("h"), F.col("g")).alias("b")).first()["b"]
+    assert row[:2] == b"BM" and int.from_bytes(row[2:6], "little") == len(row) and row[-8:-6] == b"\xff\x7f" and row[-4:-2] == b"\x7f\xff"
+
+
+def test_targets_inside_claimed_folders_go(spark):
+    found = spark.createDataFrame([("/r/X_one", "multi_view"), ("/r/X_one/sub/in", "catalog"), ("/r/X_one2", "catalog"), ("/r/two", "payload"), ("/r/two", "payload")], "dir string, family string")
+    assert [(r["package_id"], r["family"]) for r in source.targets(found, "X_").collect()] == [("one", "multi_view"), ("one2", "catalog"), ("two", "payload")]

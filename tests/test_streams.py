@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import streams
-from leafmill.sinks import packages as sink
+from tests import whole as sink
 from leafmill.sources import packages as source
 
 KEYS = ["package_id", "component", "entry_idx"]
@@ -162,3 +162,24 @@ def test_doc_nodes(spark):
     got = streams.doc_nodes(streams.spans(df, KEYS), KEYS).orderBy("node_id").collect()
     assert [(r["node_id"], r["parent_id"], r["kind"], r["tag"], r["text"]) for r in got if r["kind"] != "control"] == [
         (1, 0, "inline", "head", None), (2, 1, "text", None, "ａ"), (3, 1, "inline", "italic", None), (4, 3, "text", None, "ｂ"), (6, 1, "text", None, "ｃ"), (8, 0, "break", None, "\n"), (9, 0, "text", None, "ｄ")]
+
+
+def test_doc_nodes_at_any_depth(spark):
+    deep = 40
+    data = b"".join(b"\x1f\x10\x23\x61" for _ in range(deep)) + b"\x1f\x11" * deep + b"\x23\x62"
+    df = spark.createDataFrame([("p", "BODY", 1, bytearray(data)), ("p", "BODY", 2, bytearray(b"\x23\x61"))], "package_id string, component string, entry_idx int, bytes binary")
+    got = {(r["entry_idx"], r["node_id"]): r["parent_id"] for r in streams.doc_nodes(streams.spans(df, KEYS), KEYS).collect()}
+    # Start k is node 2k + 1, its text node 2k + 2; a start hangs on the one before, its text on it.
+    want = {(1, 2 * k + 1): 2 * k - 1 if k else 0 for k in range(deep)} | {(1, 2 * k + 2): 2 * k + 1 for k in range(deep)} | {(1, 3 * deep + 1): 0, (2, 1): 0}
+    assert got == want
+
+
+def test_strict_decoding_gives_errors_as_rows(spark):
+    df = spark.createDataFrame([("p", "B", 1, bytearray(b"\x23\x61")), ("p", "B", 2, bytearray(b"\x23\x61\x1f\x4d\x00"))], "package_id string, component string, entry_idx int, bytes binary")
+    decoded = streams.spans(df, KEYS)
+    good, errors = streams.strict(decoded, KEYS)
+    assert {r["entry_idx"] for r in good.collect()} == {1}
+    assert [(r["entry_idx"], r["start"], r["issue"]) for r in errors.collect()] == [(2, 2, "truncated_control")]
+    assert streams.checked(good).count() == good.count()
+    with pytest.raises(Exception, match="truncated_control at 2"):
+        streams.checked(decoded).collect()
