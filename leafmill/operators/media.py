@@ -169,12 +169,12 @@ def referenced(refs: DataFrame, expanded: DataFrame, inclusive: bool = False) ->
 
     The chunk table's start_block says where a component begins. A range in no chunk keeps null bytes.
     """
-    at = F.col("start_block") * BLOCK + F.col("start_offset") if "place" not in refs.columns else F.col("place")
+    at = F.col("start_block") * BLOCK + F.col("start_offset")
     keyed = refs.withColumn("ref_", F.monotonically_increasing_id()).withColumn("at_", at.cast("long"))
     keyed = scratch(keyed.withColumn("end_", F.col("at_") + F.col("size") + (1 if inclusive else 0)), "refs")
     held = expanded.select("package_id", (F.col("start_block") * BLOCK + F.col("chunk_idx").cast("long") * CHUNK).alias("base"), "bytes")
     # A chunk begins at a multiple of a block, so it is dealt to the buckets of a chunk's width that it overlaps.
-    dealt = held.withColumn("bucket", F.explode(F.array(F.floor(F.col("base") / CHUNK), F.floor((F.col("base") + F.octet_length("bytes") - 1) / CHUNK)))).distinct()
+    dealt = held.withColumn("bucket", F.explode(F.array_distinct(F.array(F.floor(F.col("base") / CHUNK), F.floor((F.col("base") + F.octet_length("bytes") - 1) / CHUNK)))))
     asked = keyed.filter("end_ > at_").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("at_") / CHUNK), F.floor((F.col("end_") - 1) / CHUNK))))
     low, high = F.greatest("at_", "base"), F.least("end_", F.col("base") + F.octet_length("bytes"))
     # A bucket's own part only, so that a chunk in two buckets doesn't count twice.
