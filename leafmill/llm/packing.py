@@ -57,7 +57,7 @@ CALL = 40
 #: What the vocabulary adds to the last token of a word.
 WORD_END = "</w>"
 #: Ranges of sizes that are swept side by side, and rounds of a pass.
-RANGES = 8
+RANGES = 2
 #: Ranks of one length that a key of the final join holds.
 SPAN = 1 << 20
 DOCS, GAPS, BLOCKS = 0, 1, 2

@@ -148,3 +148,13 @@ def test_a_sweep_leaves_nothing_that_fits_in_its_range(docs, gaps):
         assert not any(g[0] == packing.GAPS and g[1] == at and g[2] >= r[2] for r in left for g in out)
     whole = packing.sweep(rows, 64)
     assert sorted(whole) == sorted(r for at in range(packing.RANGES) for r in packing.sweep([r for r in rows if r[1] == at], 64))
+
+
+def test_clashing_columns_and_a_long_text(spark, reference):
+    long = "word über 12 " * 250_000
+    df = spark.createDataFrame([(1, "ab", 9, "x"), (2, long, 9, "y"), (3, None, 9, "z")], "doc_id long, text string, n_tokens int, ids string")
+    got = bpe.digests(df, RANKS, public_tokenizers.PATTERN)
+    assert sorted(got.columns) == ["decoded_sha256", "doc_id", "ids", "ids_sha256", "n_tokens"]
+    by_id = {r["doc_id"]: r for r in got.collect()}
+    assert by_id[1]["ids"] == "x" and by_id[3]["n_tokens"] == 0
+    assert by_id[2]["n_tokens"] == len(reference.encode_ordinary(long)) and by_id[2]["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest()
