@@ -139,8 +139,20 @@ def outside(pointers: DataFrame, starts: DataFrame, keys: list[str]) -> DataFram
     return pointers.join(starts.select(*keys).distinct(), keys, "left_anti")
 
 
+#: Patterns of one alternation.
+ALTERNATIVES = 400
+
+
 def pattern_counts(texts: DataFrame, text: str, words: list[str]) -> DataFrame:
-    """(word, n): non-overlapping occurrences, longer words first, of a short list of words."""
+    """(word, n): non-overlapping occurrences of a vocabulary's words, longer words first, an alternation for each ALTERNATIVES of them."""
     order = sorted(set(words), key=lambda w: (-len(w), w))
-    pattern = "|".join("\\Q" + w + "\\E" for w in order)
-    return texts.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(f"({pattern})"), 1)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    patterns = ["(" + "|".join("\\Q" + w + "\\E" for w in order[at : at + ALTERNATIVES]) + ")" for at in range(0, len(order), ALTERNATIVES)]
+    if not patterns:
+        return texts.limit(0).select(F.lit("").alias("word"), F.lit(0).cast("long").alias("n"))
+    found = F.flatten(F.array(*[F.regexp_extract_all(F.col(text), F.lit(p), 1) for p in patterns]))
+    return texts.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def table_pattern_counts(texts: DataFrame, text: str, patterns: DataFrame, word: str) -> DataFrame:
+    """pattern_counts of the distinct words of a table of displays: a vocabulary, which the driver reads."""
+    return pattern_counts(texts, text, [r[0] for r in patterns.filter(F.col(word) != "").select(word).distinct().collect()])

@@ -244,6 +244,16 @@ def multi_pattern_counts(t):
     return joins.pattern_counts(t("documents"), "text", WORDS)
 
 
+@query("""
+WITH p AS (SELECT '(' || string_agg(word, '|' ORDER BY length(word) DESC, word) || ')' AS pattern FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part))
+SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, pattern, 1)) AS word FROM (SELECT text FROM documents UNION ALL SELECT html FROM pages UNION ALL SELECT p_name || ' ' || p_type FROM part), p) GROUP BY word
+""")
+def display_counts(t):
+    """Occurrences of all words of part names in documents, pages and names."""
+    texts = t("documents").select("text").unionByName(t("pages").select(F.col("html").alias("text"))).unionByName(t("part").select(F.concat_ws(" ", "p_name", "p_type").alias("text")))
+    return joins.table_pattern_counts(texts, "text", t("part").select(F.explode(F.split("p_name", " ")).alias("word")), "word")
+
+
 @query("""
 SELECT n_name, count(*) AS n_orders, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS total FROM orders
 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY n_orders DESC, n_name LIMIT 10

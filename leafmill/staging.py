@@ -38,6 +38,14 @@ def drop_scratch(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def exists(df: DataFrame) -> bool:
+    """Whether all files of a scratch table are still there."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    return all(p.getFileSystem(conf).exists(p) for p in paths)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
