@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import lookup
 from leafmill.operators import glyphs, media, menus, models, streams
-from leafmill.plans.package_queries import KEYS, chunks_of, files_of
 from leafmill.plans.registry import query
+from leafmill.plans.written import KEYS, chunks_of, files_of
 from leafmill.sinks import markup
 from leafmill.sinks.packages import BREAK, cells
 from leafmill.sources import packages as source

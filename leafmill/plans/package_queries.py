@@ -7,35 +7,8 @@ from pyspark.sql import functions as F
 from leafmill.functions.bytes import BLOCK
 from leafmill.operators import joins, search, streams
 from leafmill.plans.registry import query
-from leafmill.sinks import packages as sink
+from leafmill.plans.written import KEYS, chunks_of, files_of
 from leafmill.sources import packages as source
-from leafmill.staging import exists, scratch
-
-KEYS = ["package_id", "component", "entry_idx"]
-
-
-#: Tables written in this session, by what they were made of: the queries below read the same packages.
-_WRITTEN: dict[tuple, object] = {}
-
-
-def _once(source_table, name: str, make):
-    """make() as a scratch table, written again only where it isn't there any more."""
-    key = (source_table.sparkSession.sparkContext.applicationId, name, tuple(sorted(source_table.inputFiles())))
-    if key not in _WRITTEN or not exists(_WRITTEN[key]):
-        _WRITTEN[key] = scratch(make(), name)
-    return _WRITTEN[key]
-
-
-def files_of(t):
-    """A package for each brand: its parts' names as headwords, their types and sizes as text."""
-    part = t("part").select("p_brand", "p_partkey", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("headword"), F.concat(F.lit("type "), "p_type", F.lit("\nsize "), F.col("p_size").cast("string")).alias("body"))
-    return _once(t("part"), "files", lambda: sink.packages(part, "p_brand", "p_partkey", "headword", "body"))
-
-
-def chunks_of(files):
-    """Expanded chunks, written once: marks, sizes and slices all read them."""
-    return _once(files, "chunks", lambda: source.chunks(source.components(source.catalogs(files), files)))
-
 
 @query("""
 SELECT p_brand AS package_id, p_name || ' ' || p_partkey AS headword, p_name || ' ' || p_partkey || chr(10) || 'type ' || p_type || chr(10) || 'size ' || p_size AS text FROM part
