@@ -113,8 +113,9 @@ def audio_header(data: Column) -> Column:
 
     def mapped(values: pd.Series) -> pd.DataFrame:
         names = ["kind", "channels", "rate", "bits", "data_offset", "data_size"]
-        frame = pd.DataFrame([_audio(v) or {} for v in values], columns=names)
-        return frame.astype({n: "Int64" for n in names[1:]})
+        found = [_audio(v) or {} for v in values]
+        kinds = {n: object if n == "kind" else "Int64" for n in names}
+        return pd.DataFrame({n: pd.Series([f.get(n) for f in found], dtype=kind) for n, kind in kinds.items()})
 
     return F.pandas_udf(mapped, AUDIO)(data)
 
